@@ -222,11 +222,11 @@ def similar(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> I
             yield i, np.flatnonzero(near)
 
 
-def verify(blocks: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], percent: int, stamp: Callable[[np.ndarray], int]) -> DataFrame:
+def verify(blocks: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], percent: int, stamp: Callable[[np.ndarray], int] | None) -> DataFrame:
     """Exact check of the blocks' members (root, bi, bj, own, node, copies, text).
 
-    `make` turns texts into sorted sets of hashes and `stamp` names a set: a text whose set is not
-    its node's is left out. Returns (node, root, links): for every node with links its smallest
+    `make` turns texts into sorted sets of hashes and `stamp`, if given, names a set: a text whose set
+    is not its node's is left out. Returns (node, root, links): for every node with links its smallest
     linked relative in the block and how many documents it links with there. Rows are linear in the
     members, however many pairs are similar.
     """
@@ -240,7 +240,7 @@ def verify(blocks: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], perc
                 return
             node, own, copies = (np.array([r[i] for r in rows]) for i in range(3))
             sets = make(pa.array([r[3] for r in rows], pa.large_string()))
-            good = [i for i, s in enumerate(sets) if stamp(s) == node[i]]
+            good = [i for i, s in enumerate(sets) if stamp is None or stamp(s) == node[i]]
             seen: set[int] = set()
             good = [i for i in good if not (node[i] in seen or seen.add(node[i]))]
             rows.clear()

@@ -202,6 +202,15 @@ def merge_runs(lists: list) -> list[int]:
     return out
 
 
+def blocks_of(benchmark: DataFrame, window: int, item_col: str, item_text: str) -> Iterator:
+    """The benchmark as broadcast blocks of at most about `BLOCK` bytes of text, at least one."""
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    blocks = int(bench.agg(F.ceil(F.coalesce(F.sum(F.length("text")), F.lit(0)) / BLOCK)).first()[0]) or 1
+    for k in range(blocks):
+        rows = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(prepare([r[0] for r in rows], [r[1] for r in rows], window))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_words, hits (merged [start, end) word runs), items, longest, longest_at.
 
@@ -209,14 +218,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str
     its measured size; the documents are never shuffled for one block. With more blocks, rows of the
     same doc_id and number of words are reported once.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    blocks = int(bench.agg(F.ceil(F.coalesce(F.sum(F.length("text")), F.lit(0)) / BLOCK)).first()[0]) or 1
     out = None
-    for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        items = spark.sparkContext.broadcast(prepare([r[0] for r in rows], [r[1] for r in rows], window))
+    for blocks, items in enumerate(blocks_of(benchmark, window, item_col, item_text), 1):
         part = docs.mapInArrow(partial(_scan, items=items), SCHEMA)
         out = part if out is None else out.unionAll(part)
     if blocks == 1:
@@ -240,7 +244,16 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
+def _clean(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for w in words(b.column("text"), ALNUM, LOWER, SHARD):
+            good = [not hits for hits, *_ in scan(w, items.value)]
+            yield b.slice(w.lo, w.hi - w.lo).filter(pa.array(good, pa.bool_()))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of `docs` without those that hold a benchmark window."""
-    bad = matches(docs, benchmark, window).where(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of `docs` without those that hold a benchmark window, where they stand."""
+    out = docs
+    for items in blocks_of(benchmark, window, "item_id", "text"):
+        out = out.mapInArrow(partial(_clean, items=items), docs.schema)
+    return out

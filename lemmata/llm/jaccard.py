@@ -173,6 +173,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that lead their component (and every document without words)."""
-    groups = jaccard_join(docs, **options).where("component_id = doc_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(groups.distinct(), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of `docs` that lead their component, one row for each leading doc_id.
+
+    Rows without words and rows with a null doc_id stay.
+    """
+    groups = _graph.cut(jaccard_join(docs, **options).where("n_shingles > 0 and doc_id is not null"))
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)

@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.llm import binary, decontam, jaccard, mixing, token_counts, tokenize, toxicity
+from lemmata.llm import ann, binary, decontam, jaccard, lines, mixing, pii, token_counts, tokenize, toxicity, urls
 from lemmata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)).drop("longest")
 
@@ -39,8 +51,13 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_back(binary.write_ids(table(spark, sf_dir, "documents"), tokenize.vocabulary_path(), end_id=2))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_decontamination, op5_token_counts, op6_mixing, op7_jaccard_join, op8_toxicity, op9_token_ids)
+    f.__name__: f
+    for f in (op1_pii, op2_ann, op3_url_filter, op4_decontamination, op5_token_counts, op6_mixing, op7_jaccard_join, op8_toxicity, op9_token_ids, op10_line_dedup)
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -265,7 +265,16 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "spans")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that score below the threshold."""
-    bad = score(docs, labels).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def _keep(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterator[pa.RecordBatch]:
+    m = model.value
+    for b in batches:
+        for w in words(b.column("text"), ALNUM, LOWER):
+            z = doc_inputs(w, marginals(w, m)) @ m.doc
+            good = 1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold if m.fitted else np.ones(len(z), bool)
+            yield b.slice(w.lo, w.hi - w.lo).filter(pa.array(good))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` that score below the threshold, where they stand: nothing is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    return docs.mapInArrow(partial(_keep, model=model, threshold=threshold), docs.schema)
