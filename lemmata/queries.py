@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lemmata.functions import text as X
 from lemmata.operators import curate, retrieval
 from lemmata.operators import temporal as E
-from lemmata.plans import sva
+from lemmata.plans import generate, sva
 from lemmata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,10 +228,10 @@ def keyword_census(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_LINES_SQL} SELECT idx, array_to_string(list_distinct_ordered, ',') AS signals FROM (
  SELECT idx, list_transform(list_sort(list_transform(map_entries(first_at), lambda e: {{'spot': e.value, 'name': e.key}})), lambda x: x.name) AS list_distinct_ordered FROM (
- SELECT idx, map_from_entries(list({{'k': name, 'v': spot}})) AS first_at FROM (
- SELECT idx, name, min(i) AS spot FROM (SELECT idx, unnest(n) AS name, unnest(range(0, len(n))) AS i FROM (SELECT idx, regexp_extract_all(sva, '([$\\w'']+)', 1) AS n FROM v)) WHERE regexp_full_match(name, '[A-Za-z_]\\w*') GROUP BY idx, name) GROUP BY idx))""")
+ SELECT idx, sva, map_from_entries(list({{'k': name, 'v': spot}})) AS first_at FROM (
+ SELECT idx, sva, name, min(i) AS spot FROM (SELECT idx, sva, unnest(n) AS name, unnest(range(0, len(n))) AS i FROM (SELECT DISTINCT idx, sva, regexp_extract_all(sva, '([$\\w'']+)', 1) AS n FROM v)) WHERE regexp_full_match(name, '[A-Za-z_]\\w*') GROUP BY idx, sva, name) GROUP BY idx, sva))""")
 def signal_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return _assertions(spark, sf).select("idx", F.array_join(X.signal_names("sva"), ",").alias("signals"))
+    return _assertions(spark, sf).select("idx", "sva").distinct().select("idx", F.array_join(X.signal_names("sva"), ",").alias("signals"))
 
 
 _TURN = """CASE l_linenumber % 4 WHEN 0 THEN 'no fence' WHEN 1 THEN 'why' || chr(10) || '```sv' || chr(10) || 'a' || chr(10) || '```' WHEN 2 THEN '```sv' || chr(10) || 'a' || chr(10) || '```' ELSE 'why ```sv a' END"""
@@ -542,6 +542,24 @@ def tree_explanations(spark: SparkSession, sf: str) -> DataFrame:
     return sva.trees(_assertions(spark, sf), "idx", "sva")
 
 
+# ---------------------------------------------------------------- generation dataflow
+
+
+@query(f"""WITH {_LINES_SQL}, d AS (SELECT DISTINCT sva FROM v) SELECT idx, 'stub:' || md5('Explain: ' || v.sva) AS completion FROM v""")
+def completed_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _assertions(spark, sf).withColumn("prompt", F.concat(F.lit("Explain: "), "sva"))
+    return generate.complete(rows, "prompt", "completion", generate.Stub()).select("idx", "completion")
+
+
+@query(f"""WITH {_LINES_SQL}, {_OPS_SQL}, h AS (SELECT DISTINCT sva, op FROM v JOIN ops ON contains(sva, op)),
+c AS (SELECT sva, string_agg(op, '; ' ORDER BY op) AS context FROM h GROUP BY sva) SELECT DISTINCT v.sva AS sva, 'Context:' || chr(10) || coalesce(context, '') || chr(10) || 'Property: ' || v.sva AS prompt FROM v LEFT JOIN c ON v.sva = c.sva""")
+def retrieval_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    ops = F.broadcast(spark.createDataFrame([(o,) for o in _OPS], "op string"))
+    rows = _assertions(spark, sf).select("sva").distinct()
+    hits = retrieval.contains_join(rows, "sva", ops, "op").select("sva", F.col("op").alias("content"), F.col("op").alias("rank"))
+    return generate.stuff(rows, hits, "sva", "Context:\n{context}\nProperty: {query}", "; ")
+
+
 @query("SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts >= p + INTERVAL 30 MINUTE GROUP BY user_id")
 def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).count().groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
