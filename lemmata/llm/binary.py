@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lemmata.llm import _graph
-from lemmata.llm.tokenize import WordTokenizer
+from lemmata.llm.tokenize import tokenizer
 
 FRAME = 1 << 18
 SKIPPABLE, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -130,18 +130,18 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     writer = out = None
     total = docs = 0
     name = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.zst"
-    tokenizer, part = None, 0
+    encoder, part = None, 0
     for b in batches:
         if not b.num_rows:
             continue
         if writer is None:
-            tokenizer = WordTokenizer(path)
+            encoder = tokenizer(path)
             fs, where = filesystem(name)
             fs.create_dir(where.rpartition("/")[0], recursive=True)
             out = fs.open_output_stream(where, compression=None)
             writer, part = Writer(out), b.column("part")[0].as_py()
         who = b.column("doc_id").to_pylist()
-        for w, ids, first in tokenizer.documents(b.column("text")):
+        for w, ids, first in encoder.documents(b.column("text")):
             for d in range(w.hi - w.lo):
                 one = np.append(ids[first[d] : first[d + 1]], np.uint32(end_id))
                 writer.add(who[w.lo + d], one)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmata.llm._bytes import IDENTITY, NON_SPACE, words
-from lemmata.llm.tokenize import WordTokenizer
+from lemmata.llm.tokenize import tokenizer
 
 SCHEMA = "doc_id long, section int, start int, end int, n_tokens long, n_crossing long"
 
@@ -54,12 +54,12 @@ def _lines(chars: np.ndarray, newline: np.ndarray, total: int) -> tuple[np.ndarr
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, given: bool) -> Iterator[pa.RecordBatch]:
-    tokenizer = WordTokenizer(path, offsets=True)
+    encoder = tokenizer(path)
     for b in batches:
         ids = b.column(0)
         sections = b.column(2).to_pylist() if given else None
         for w in words(b.column(1), NON_SPACE, IDENTITY):
-            _, first, spans, part = tokenizer.encode(w)
+            _, first, spans, part = encoder.encode(w)
             chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
             base = chars[w.start[part]]
             at = np.stack([base + spans[:, 0], base + spans[:, 1]], 1) if len(part) else np.zeros((0, 2), np.int64)

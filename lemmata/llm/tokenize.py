@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
 from lemmata.llm._bytes import IDENTITY, NON_SPACE, Words, words
 
-#: parts that a worker keeps
-CACHE = 400_000
+#: parts that a worker keeps, and those that one call encodes
+CACHE, TOGETHER = 1_200_000, 512
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -25,53 +26,79 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Pool:
+    """A growing array that can be cut back."""
+
+    def __init__(self, shape: tuple[int, ...], kind):
+        self.data, self.size = np.zeros((1 << 16, *shape), kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.size + len(x) > len(self.data):
+            grown = np.zeros((max(2 * len(self.data), self.size + len(x)), *self.data.shape[1:]), self.data.dtype)
+            grown[: self.size] = self.data[: self.size]
+            self.data = grown
+        self.data[self.size : self.size + len(x)] = x
+        self.size += len(x)
+
+
 class WordTokenizer:
-    """Ids and offsets for the parts of texts; `path` names a tokenizers file of the word kind."""
+    """Ids and offsets for the parts of texts; `path` names a tokenizers file of the word kind.
+
+    The first `CACHE` parts that a worker meets stay; others are encoded when they come. New parts are
+    encoded many to a call, joined by spaces, and told apart by their tokens' offsets.
+    """
 
-    def __init__(self, path: str, offsets: bool = False):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.offsets = offsets
-        self._reset()
-
-    def _reset(self):
         self.place: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.spans: list[np.ndarray] = []
-
-    def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+        self.ids, self.spans = Pool((), np.uint32), Pool((2,), np.int32)
+        self.begin, self.length = Pool((), np.int64), Pool((), np.int64)
+
+    def _learn(self, texts: list[str]) -> None:
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        at = np.array(got.offsets, np.int64).reshape(-1, 2)
+        owner = np.searchsorted(start, at[:, 0], "right") - 1
+        n = np.bincount(owner, minlength=len(texts))
+        self.begin.add(self.ids.size + np.cumsum(n) - n)
+        self.length.add(n)
+        self.ids.add(np.array(got.ids, np.uint32))
+        self.spans.add(at - start[owner][:, None])
+
+    def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a run of documents: ids, each document's first id, offsets within parts, each id's part."""
-        if len(self.place) > CACHE:
-            self._reset()
-        h = w.hashes
-        unique, at, back = np.unique(h, return_index=True, return_inverse=True)
+        unique, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
         keys = unique.tolist()
-        slots = [self.place.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(slots) if s < 0]
+        slots = np.fromiter((self.place.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(slots < 0)
+        kept = (self.ids.size, self.spans.size, self.begin.size, self.length.size)
         data = w.data.tobytes()
-        for a in range(0, len(new), 2000):
-            some = new[a : a + 2000]
-            texts = [data[w.start[at[i]] : w.end[at[i]]].decode("utf-8") for i in some]
-            encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-            for i, e in zip(some, encode(texts, add_special_tokens=False), strict=True):
-                slots[i] = self.place[keys[i]] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-                if self.offsets:
-                    self.spans.append(np.array(e.offsets, np.int32).reshape(-1, 2))
-        used = [self.ids[s] for s in slots]
-        length = np.array([len(x) for x in used], np.int64)
-        pool = np.concatenate([*used, np.zeros(0, np.uint32)])
-        begin = np.concatenate([[0], np.cumsum(length)])
-        back = back.ravel()
+        slots[new] = self.begin.size + np.arange(len(new))
+        lo, hi = w.start[at[new]].tolist(), w.end[at[new]].tolist()
+        for a in range(0, len(new), TOGETHER):
+            self._learn([data[x:y].decode("utf-8") for x, y in zip(lo[a : a + TOGETHER], hi[a : a + TOGETHER], strict=True)])
+        begin, length, back = self.begin.data[slots], self.length.data[slots], back.ravel()
         n = length[back]
         first = np.concatenate([[0], np.cumsum(n)])
         index = np.repeat(begin[back] - first[:-1], n) + np.arange(first[-1])
-        spans = np.concatenate([*(self.spans[s] for s in slots), np.zeros((0, 2), np.int32)])[index] if self.offsets else None
-        return pool[index], first[w.first], spans, np.repeat(np.arange(len(back)), n)
+        out = self.ids.data[index], first[w.first], self.spans.data[index], np.repeat(np.arange(len(back)), n)
+        if len(self.place) + len(new) <= CACHE:
+            self.place.update(zip((keys[i] for i in new.tolist()), slots[new].tolist(), strict=True))
+        else:
+            self.ids.size, self.spans.size, self.begin.size, self.length.size = kept
+        return out
 
     def documents(self, column) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
-        for w in words(column, NON_SPACE, IDENTITY):
+        for w in words(column, NON_SPACE, IDENTITY, 1 << 22):
             ids, first, _, _ = self.encode(w)
             yield w, ids, first
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> WordTokenizer:
+    """The worker's tokenizer: its cache outlives a task."""
+    return WordTokenizer(path)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lemmata.llm._bytes import ALNUM, LOWER, U, Words, mix, words
 
-SAMPLE, SAMPLE_CHARS, SEGMENT = 12_000, 100_000, 256
+SAMPLE, SAMPLE_CHARS, SEGMENT = 9_000, 100_000, 256
 SLOTS = 1 << 21
 #: (from the word's start?, bytes): the word itself, prefixes and a suffix
 AFFIXES = ((True, 4), (True, 5), (True, 6), (True, 7), (False, 5))
