@@ -137,8 +137,9 @@ def calibrate(bins: dict[tuple[int, int], int]) -> float:
     """The bound between bins with the least balanced error; of equals the one nearest to 0."""
     total = [max(1, sum(n for (_, c), n in bins.items() if c == k)) for k in (0, 1)]
     wrong, best = sum(n for (_, c), n in bins.items() if c == 0) / total[0], (float("inf"), 0, 0)
-    for b in sorted({b for b, _ in bins}):
-        best = min(best, (round(wrong, 12), abs(b), b))
-        wrong += bins.get((b, 1), 0) / total[1] - bins.get((b, 0), 0) / total[0]
-        best = min(best, (round(wrong, 12), abs(b + 1), b + 1))
+    seen = sorted({b for b, _ in bins})
+    for below, above in zip([-(10**6), *[b + 1 for b in seen]], [*seen, 10**6], strict=True):  # any bound between is as good
+        t = min(max(0, below), above)
+        best = min(best, (round(wrong, 12), abs(t), t))
+        wrong += bins.get((above, 1), 0) / total[1] - bins.get((above, 0), 0) / total[0]
     return best[2] * BIN
