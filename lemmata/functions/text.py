@@ -21,7 +21,7 @@ def final_answer(x, phrase: str = "assert property") -> Column:
     text = _c(x)
     cut = F.instr(text, "</think>")
     after = F.when(cut > 0, F.substr(text, cut + F.lit(8)))
-    body = F.trim(F.regexp_extract(after, r"(?s)```[A-Za-z]*\n(.*?)```", 1))
+    body = F.regexp_replace(F.regexp_extract(after, r"(?s)```[A-Za-z]*\n(.*?)```", 1), r"^\s+|\s+$", "")
     return F.when(F.contains(body, F.lit(phrase)), body)
 
 

@@ -145,7 +145,7 @@ def _assertions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_LINES_SQL},
-f AS (SELECT idx, CASE WHEN strpos(response, '</think>') > 0 THEN trim(regexp_extract(substr(response, strpos(response, '</think>') + 8), '(?s)```[A-Za-z]*\\n(.*?)```', 1), ' ') END AS body FROM v)
+f AS (SELECT idx, CASE WHEN strpos(response, '</think>') > 0 THEN trim(regexp_extract(substr(response, strpos(response, '</think>') + 8), '(?s)```[A-Za-z]*\\n(.*?)```', 1), ' ' || chr(10)) END AS body FROM v)
 SELECT idx, CASE WHEN body LIKE '%assert property%' THEN body END AS answer FROM f""")
 def final_answers(spark: SparkSession, sf: str) -> DataFrame:
     return _assertions(spark, sf).select("idx", X.final_answer("response").alias("answer"))
