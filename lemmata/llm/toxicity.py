@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from lemmata.llm._bytes import ALNUM, LOWER, U, Words, mix, words
 
-SAMPLE, SAMPLE_CHARS, SEGMENT = 9_000, 100_000, 256
-SLOTS = 1 << 21
+SAMPLE, SAMPLE_CHARS, SEGMENT = 8_000, 100_000, 256
+SLOTS = 1 << 20
 #: (from the word's start?, bytes): the word itself, prefixes and a suffix
 AFFIXES = ((True, 4), (True, 5), (True, 6), (True, 7), (False, 5))
 #: segments of the training set and words in each
-TRAIN_SEGMENTS, TRAIN_WORDS = 6_000, 48
+TRAIN_SEGMENTS, TRAIN_WORDS = 4_000, 48
 
 
 @dataclass
@@ -55,7 +55,7 @@ def features(w: Words) -> np.ndarray:
         take = np.minimum(size, n)
         h = w.span_hash(w.start, w.start + take) if front else w.span_hash(w.end - take, w.end)
         made.append(mix(h ^ np.where(size > n, U(k + 2), U(1))))
-    return np.stack([(x >> U(43)).astype(np.int32) for x in made], 1)
+    return np.stack([(x >> U(44)).astype(np.int32) for x in made], 1)
 
 
 def chain(u: np.ndarray, lengths: np.ndarray, model_moves: np.ndarray) -> np.ndarray:
@@ -168,25 +168,27 @@ def _fit_chain(slots: np.ndarray, y: np.ndarray, length: np.ndarray, dims: int,
     return theta, bias, moves
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    """A model from texts and their 0/1 labels."""
+def fit(column: pa.Array | pa.ChunkedArray, toxic: np.ndarray) -> Model:
+    """A model from a string column and its 0/1 labels. The texts stay in Arrow's memory."""
     none = Model(np.zeros(SLOTS, np.float32), -8.0, np.zeros((2, 2)), np.array([-30.0, 0, 0, 0]), False)
-    if not len(texts):
+    if not len(column):
         return none
-    column = pa.array(texts, pa.large_string())
-    df = np.zeros((2, SLOTS), np.int64)
+    df = np.zeros((2, SLOTS), np.int32)
     for w in words(column, ALNUM, LOWER):
         f, doc = features(w), w.doc
         key = np.unique((doc[:, None].astype(np.int64) * SLOTS + f).ravel())
         y = toxic[w.lo : w.hi][key // SLOTS]
         for k in (0, 1):
-            df[k] += np.bincount(key[y == k] % SLOTS, minlength=SLOTS)
-    a, n = df[1].astype(float), df.sum(0).astype(float)
+            slot, times = np.unique(key[y == k] % SLOTS, return_counts=True)
+            df[k][slot] += times.astype(np.int32)
+    held = np.flatnonzero(df[1])
+    seen = int((df.sum(0) > 0).sum())
+    a, n = df[1][held].astype(float), df[:, held].sum(0).astype(float)
     p = float(np.clip(toxic.mean(), 1e-3, 0.5))
-    r = np.clip(a / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    r = np.clip(a / n, 1e-9, 1 - 1e-9)
     deviation = n * (r * np.log(r / p) + (1 - r) * np.log((1 - r) / (1 - p)))
-    bar = np.log(max(2, (n > 0).sum())) + 2
-    marks = (r >= 0.7) & (deviation >= bar)
+    marks = np.zeros(SLOTS, bool)
+    marks[held[(r >= 0.7) & (deviation >= np.log(max(2, seen)) + 2)]] = True
     if not marks.any():
         none.doc = np.array([np.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5)), 0, 0, 0])
         none.fitted = True
@@ -254,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.length("text") <= SAMPLE_CHARS).select("_id", "text", "toxic")
     got = rows.dropDuplicates(["_id"]).toArrow().sort_by("_id")
-    return fit(got.column("text").to_pylist(), (got.column("toxic").to_numpy() > 0).astype(int))
+    return fit(got.column("text"), (got.column("toxic").to_numpy() > 0).astype(int))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
