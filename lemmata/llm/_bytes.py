@@ -6,6 +6,7 @@ single document), never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,10 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+#: bytes of text after which a worker gives freed memory back
+RELEASE = 16 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _pow = _ipow = np.ones(1, U)
+_since = 0
 
 #: bytes lower-cased for A-Z only
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,6 +45,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release(used: int) -> None:
+    """Hand freed memory back to the system, once for every `RELEASE` bytes of text: workers outlive
+    their tasks, and what the allocators keep counts against the executor. Nothing where the C
+    library has no such call.
+    """
+    global _since
+    _since += used
+    if _since >= RELEASE:
+        _since = 0
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            return
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _ipow
     if len(_pow) < n:
@@ -135,6 +155,7 @@ def words(column, inside: np.ndarray, fold: np.ndarray = LOWER, size: int = CHUN
         prefix = np.zeros(len(data) + 1, U)
         np.cumsum((data.astype(U) + U(1)) * _powers(len(data) + 1)[0][: len(data)], out=prefix[1:])
         yield Words(lo, hi, data, start, end, first, at, prefix)
+        release(len(data))
 
 
 def ngram_sets(w: Words, n: int, inside_hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
