@@ -1,12 +1,14 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of further identifiers.
 
 Four base kinds (email, ip, card, phone) are found by regular expression and checked. The bootstrap
-then looks at every identifier-like token (a digit or an at sign, six letters or digits or more):
-tokens that overlap a base span are seed entities, the word to a token's left and the label within
-it (`key=`, `id:`) are lexical patterns. Patterns and tokens form a graph of distinct edges; in each
-round a pattern's confidence is the mean score of its tokens (with one pseudo-count against it) and
-a token's score the noisy-or of its confident patterns. Tokens that reach the bar after the last
-round are reported as kind `other`, where no base span covers them.
+then looks at entities: the base spans, each whole, are the seeds; the others are identifier-like
+tokens (a digit or an at sign, six letters or digits or more) and runs of number groups with blanks
+between them, where no base span overlaps them. The word to an entity's left and the label within
+its token (`key=`, `id:`) are lexical patterns. Patterns and entities form a graph of distinct edges;
+in each round a pattern's confidence is the mean score of its entities (with one pseudo-count against
+it; `SUPPORT` of them at least have to be seeds or promoted) and an entity's score the noisy-or of its
+confident patterns. Entities that reach the bar after the last round are reported as kind `other`; of
+a run and the tokens within it only the run.
 
 DataFrame functions only. Positions are code points, ends exclusive. Matches come from marking them
 within the text and adding up the lengths between marks; possessive forms keep the expressions
@@ -33,9 +35,13 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: an identifier-like token: no white space, with a digit or an at sign
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: two or more number groups with blanks between them, after a label and before other signs
+GROUP = r"[+(]{0,2}+[0-9][0-9()./-]*+(?=[^\s\p{L}0-9@]*+(?!\S))"
+RUN = rf"(?<!\S)(?:[^\s0-9@=:]{{1,40}}+[=:])?+[^\s\p{{L}}0-9@+(]*+{GROUP}(?:[\x20\t]++{GROUP})++"
 ROUNDS, BAR, SUPPORT = 3, 0.8, 3
 LEFT_CHARS = 64
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+SEED = "array<struct<start:int,kind:int,end:int,left:string,label:string,core:string>>"
 CAND = "array<struct<start:int,end:int,left:string,label:string,core:string>>"
 
 
@@ -71,38 +77,62 @@ def _marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, "\u0001$0\u0001"), "\u0001", -1)
 
 
+def _label(token: Column) -> Column:
+    return F.regexp_extract(token, r"\A([^\s0-9@=:]{1,40}[=:])", 1)
+
+
+def _left(before: Column) -> Column:
+    """The last word of a text, without signs; none if it is identifier-like itself."""
+    word = F.regexp_extract(before, r"(?<!\S)(\S++)\s*+\z", 1)
+    return F.when(word.rlike("[0-9@]"), F.lit("")).otherwise(F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}=:]", "")))
+
+
 def base_spans(text: Column, kind: int, pattern: str) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("found"))
+    """The valid spans of one kind with the word on their left, the label of their token and their text."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("before"), F.array().cast(SEED).alias("found"))
 
     def step(s: Column, x: Column) -> Column:
         to = (s["at"] + F.length(x)).cast("int")
-        one = F.array(F.struct(s["at"].alias("start"), F.lit(kind).alias("kind"), to.alias("end")))
+        begun = F.regexp_extract(s["before"], r"(?<!\S)(\S++)\z", 1)
+        left = _left(F.substr(s["before"], F.lit(1), F.length(s["before"]) - F.length(begun)))
+        one = F.array(F.struct(s["at"].alias("start"), F.lit(kind).alias("kind"), to.alias("end"), left.alias("left"), F.lower(_label(begun)).alias("label"), x.alias("core")))
         hit = (s["i"] % 2 == 1) & _valid(kind, x)
-        return F.struct(to.alias("at"), (s["i"] + 1).alias("i"), F.when(hit, F.concat(s["found"], one)).otherwise(s["found"]).alias("found"))
+        before = F.right(F.concat(s["before"], F.right(x, F.lit(LEFT_CHARS))), F.lit(LEFT_CHARS))
+        return F.struct(to.alias("at"), (s["i"] + 1).alias("i"), before.alias("before"), F.when(hit, F.concat(s["found"], one)).otherwise(s["found"]).alias("found"))
 
     return F.aggregate(_marked(text, pattern), start, step, lambda s: s["found"])
 
 
-def candidates(text: Column) -> Column:
-    """Identifier-like tokens with the word on their left, the label within them and the rest."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("left"), F.array().cast(CAND).alias("found"))
+def candidates(text: Column, pattern: str) -> Column:
+    """Identifier-like matches with the word on their left, the label within them and the rest."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("before"), F.array().cast(CAND).alias("found"))
 
     def step(s: Column, x: Column) -> Column:
         to = (s["at"] + F.length(x)).cast("int")
-        odd = s["i"] % 2 == 1
-        label = F.regexp_extract(x, r"\A([^\s0-9@=:]{1,40}[=:])", 1)
+        label = _label(x)
         bare = F.regexp_replace(F.substr(x, F.length(label) + 1), r"\A[^A-Za-z0-9+(]+", "")
         begin = F.length(x) - F.length(bare)
         core = F.regexp_replace(bare, r"[^A-Za-z0-9)]{1,20}\z", "")
         one = F.array(
-            F.struct((s["at"] + begin).cast("int").alias("start"), (s["at"] + begin + F.length(core)).cast("int").alias("end"), s["left"].alias("left"), F.lower(label).alias("label"), core.alias("core"))
+            F.struct((s["at"] + begin).cast("int").alias("start"), (s["at"] + begin + F.length(core)).cast("int").alias("end"), _left(s["before"]).alias("left"), F.lower(label).alias("label"), core.alias("core"))
         )
-        fit = odd & (F.length(F.regexp_replace(core, "[^A-Za-z0-9]", "")) >= 6) & (F.length(digits(core)) >= 3)
-        word = F.lower(F.regexp_replace(F.element_at(F.split(F.rtrim(F.right(x, F.lit(LEFT_CHARS))), r"\s+"), -1), r"[^\p{L}\p{N}=:]", ""))
-        left = F.when(odd, F.lit("")).otherwise(F.coalesce(word, F.lit("")))
-        return F.struct(to.alias("at"), (s["i"] + 1).alias("i"), left.alias("left"), F.when(fit, F.concat(s["found"], one)).otherwise(s["found"]).alias("found"))
+        fit = (s["i"] % 2 == 1) & core.rlike("[0-9@]") & (F.length(F.regexp_replace(core, "[^A-Za-z0-9]", "")) >= 6)
+        before = F.right(F.concat(s["before"], F.right(x, F.lit(LEFT_CHARS))), F.lit(LEFT_CHARS))
+        return F.struct(to.alias("at"), (s["i"] + 1).alias("i"), before.alias("before"), F.when(fit, F.concat(s["found"], one)).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(_marked(text, pattern), start, step, lambda s: s["found"])
+
+
+def outermost(spans: Column) -> Column:
+    """Spans (start, end) without those that lie within another, of nested or disjoint ones."""
+    start = F.struct(F.lit(-1).alias("to"), F.array().cast(SPAN).alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        one = F.array(F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end")))
+        return F.when(x["end"] > s["to"], F.struct(x["end"].alias("to"), F.concat(s["kept"], one).alias("kept"))).otherwise(s)
 
-    return F.aggregate(_marked(text, TOKEN), start, step, lambda s: s["found"])
+    by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["end"].alias("end"))))
+    return F.aggregate(by_start, start, step, lambda s: s["kept"])
 
 
 def _overlaps(spans: str, start: Column, end: Column) -> Column:
@@ -110,14 +140,14 @@ def _overlaps(spans: str, start: Column, end: Column) -> Column:
 
 
 def bootstrap(edges: DataFrame) -> DataFrame:
-    """(core, score) of the tokens that are no seeds and reach the bar. edges: pattern, core, seed."""
+    """(core, score) of the entities that are no seeds and reach the bar. edges: pattern, core, seed."""
     tokens = edges.groupBy("core").agg(F.max("seed").alias("seed"))
     scored = tokens.where("seed").select("core", F.lit(1.0).alias("score"))
     for _ in range(ROUNDS):
         rated = edges.join(scored, "core", "left").groupBy("pattern").agg(
-            (F.sum(F.coalesce("score", F.lit(0.0))) / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds")
+            (F.sum(F.coalesce("score", F.lit(0.0))) / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count("score").alias("support")
         )
-        sure = rated.where((F.col("confidence") >= BAR) & (F.col("seeds") >= SUPPORT)).select("pattern", "confidence")
+        sure = rated.where((F.col("confidence") >= BAR) & (F.col("support") >= SUPPORT)).select("pattern", "confidence")
         new = edges.where("not seed").join(sure, "pattern").groupBy("core").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
         scored = _graph.cut(tokens.where("seed").select("core", F.lit(1.0).alias("score")).union(new.join(tokens.where("seed"), "core", "left_anti").select("core", "score")))
     return scored.join(tokens.where("not seed"), "core", "left_semi").where(F.col("score") >= BAR)
@@ -126,7 +156,7 @@ def bootstrap(edges: DataFrame) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, base and all, arrays of (start, kind, end) in order of start and kind."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\u0001", "\u0002")
-    none = F.array().cast(SPAN)
+    none = F.array().cast(SEED)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"h": F.xxhash64("text"), "digit": F.col("text").rlike("[0-9]"), "at": F.contains("text", F.lit("@"))})
     rows = rows.select(
         "doc_id",
@@ -135,16 +165,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.when(F.col("digit"), base_spans(F.col("text"), 1, IP)).otherwise(none).alias("k1"),
         F.when(F.col("digit"), base_spans(F.col("text"), 2, CARD)).otherwise(none).alias("k2"),
         F.when(F.contains("text", F.lit("+")), base_spans(F.col("text"), 3, PHONE)).otherwise(none).alias("k3"),
-        F.when(F.col("digit") | F.col("at"), candidates(F.col("text"))).otherwise(F.array().cast(CAND)).alias("cands"),
+        F.when(F.col("digit") | F.col("at"), candidates(F.col("text"), TOKEN)).otherwise(F.array().cast(CAND)).alias("tokens"),
+        F.when(F.col("digit"), candidates(F.col("text"), RUN)).otherwise(F.array().cast(CAND)).alias("runs"),
     )
-    base = _graph.cut(rows.select("doc_id", "h", F.array_sort(F.concat("k0", "k1", "k2", "k3")).alias("base"), "cands"))
-    each = base.where(F.size("cands") > 0).select("doc_id", "h", "base", F.explode("cands").alias("c")).select("doc_id", "h", "c.*", _overlaps("base", F.col("c.start"), F.col("c.end")).alias("seed"))
+    rows = rows.select("doc_id", "h", F.array_sort(F.concat("k0", "k1", "k2", "k3")).alias("seeds"), F.concat("tokens", "runs").alias("cands"))
+    plain = F.transform("seeds", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    base = _graph.cut(rows.select("doc_id", "h", plain.alias("base"), "seeds", "cands"))
+    unseen = base.where(F.size("cands") > 0).select("doc_id", "h", "base", F.explode("cands").alias("c")).where(~_overlaps("base", F.col("c.start"), F.col("c.end"))).select("doc_id", "h", "c.*")
+    seeds = base.where(F.size("seeds") > 0).select(F.explode("seeds").alias("c"))
+    each = seeds.select("c.left", "c.label", "c.core", F.lit(True).alias("seed")).union(unseen.select("left", "label", "core", F.lit(False).alias("seed")))
     patterns = F.array_compact(F.array(F.when(F.col("left") != "", F.concat(F.lit("L:"), "left")), F.when(F.col("label") != "", F.concat(F.lit("I:"), "label"))))
     edges = _graph.cut(each.select(F.explode(patterns).alias("pattern"), "core", "seed").groupBy("pattern", "core").agg(F.max("seed").alias("seed")))
-    found = each.where("not seed").join(bootstrap(edges), "core", "left_semi")
-    more = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more")
+    found = unseen.join(bootstrap(edges), "core", "left_semi")
+    more = found.groupBy("doc_id", "h").agg(outermost(F.collect_set(F.struct("start", "end"))).alias("more")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more")
     joined = base.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-    return joined.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("more", none)))).alias("all"))
+    return joined.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("all"))
 
 
 def listing(spans: str) -> Column:
