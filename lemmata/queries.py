@@ -55,6 +55,32 @@ def vector_topk_l2(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.topk(asked, rows, 5, "l2").select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("""
+WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT qid, vec_id AS id, list_sum(list_transform(range(1, len(qv) + 1), lambda i: CAST(qv[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))) AS score FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)
+SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 4
+""")
+def vector_topk_every20(spark: SparkSession, sf: str) -> DataFrame:
+    """`vector_topk` asked with every row whose id is divisible by 20."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return retrieval.topk(asked, rows, 4).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("""
+WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT qid, vec_id AS id, sqrt(list_sum(list_transform(range(1, len(qv) + 1), lambda i: power(CAST(qv[i] AS DOUBLE) - CAST(embedding[i] AS DOUBLE), 2)))) AS score FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s)
+SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5
+""")
+def vector_topk_l2_every20(spark: SparkSession, sf: str) -> DataFrame:
+    """`vector_topk_l2` asked with every row whose id is divisible by 20."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return retrieval.topk(asked, rows, 5, "l2").select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("""
 WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding) AS v, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS m FROM embeddings)
 SELECT label, CAST(dim AS INTEGER) AS dim, round(sum(CAST(v AS DOUBLE) * m) / greatest(sum(m), 1e-9), 6) AS v FROM e GROUP BY label, dim
