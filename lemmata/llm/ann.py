@@ -7,8 +7,9 @@ then all trees ascend level by level together until the prefixes leave enough ca
 are ranked by exact Euclidean distance in double precision, and the shards' nearest are merged.
 
 `EFFORT` (entries over all trees that end the ascent, for each vector of the shard) sets the recall: on
-vectors spread evenly over the sphere, the hardest case, 1.2 gives 0.99. A shard with no more vectors
-than `EXACT` is searched whole. Queries travel in broadcast blocks of bounded size.
+vectors spread evenly over the sphere, the hardest case, 1.2 gives 0.99. The ascent never ends with
+fewer entries than make sure of k candidates; a shard with no more vectors than k is found whole at
+level 0. Queries travel in broadcast blocks of bounded size.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those whose length is not the most frequent one (of equals the smaller); of rows that share a
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, EFFORT, EXACT = 24, 64, 1.5, 2_000
+TREES, BITS, EFFORT = 24, 64, 1.5
 #: vectors in a shard at most, queries in a broadcast block
 SHARD, QUERIES = 1 << 16, 20_000
 U = np.uint64
@@ -82,13 +83,12 @@ def _search(batches: Iterator[pa.RecordBatch], queries, dim: int, k: int, effort
     def shard(held):
         who = np.concatenate([x for x, _ in held])
         rows = np.concatenate([x for _, x in held])
-        forest = Forest(rows) if len(rows) > EXACT else None
-        everything = np.arange(len(rows))
+        forest = Forest(rows)
+        enough = max(int(effort * len(rows)), len(forest.keys) * (k + 1))  # one tree then has k others than the query
         out = []
         for a in range(0, len(ids), 512):
             some = vectors[a : a + 512]
-            found = forest.candidates(some, int(effort * len(rows))) if forest else (everything for _ in some)
-            for i, rowset in enumerate(found):
+            for i, rowset in enumerate(forest.candidates(some, enough)):
                 rowset = rowset[who[rowset] != ids[a + i]]
                 d = np.sqrt(((rows[rowset].astype(np.float64) - some[i].astype(np.float64)) ** 2).sum(1))
                 if len(d) > k:

@@ -4,9 +4,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lemmata.llm import pii, urls
+from lemmata.llm import ann, pii, urls
 
 
 def rows(df):
@@ -66,3 +68,22 @@ def test_urls_count_exactly_however_many_grams(spark):
     got = {x["page_id"]: x["score"] for x in rows(urls.judge(df))}
     assert len(got) == 6020
     assert all(abs(got[i] - (likelihood(u, 1) - likelihood(u, 0))) < 1e-9 for i, u in data[:40] + data[6000:])
+
+
+def test_ann_small_shards_use_the_forest(spark, monkeypatch):
+    def run(n):
+        v = np.random.default_rng(n).standard_normal((n, 16)).astype(np.float32)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+        return v, rows(ann.nearest(df, "vec_id % 20 = 0", k=10))
+
+    for n in (8, 12, 500):
+        v, got = run(n)
+        assert all(sum(r["query_id"] == q for r in got) == min(10, n - 1) for q in range(0, n, 20))
+    near = {q: set(np.argsort(((v - v[q]) ** 2).sum(1), kind="stable")[1:11]) for q in range(0, 500, 20)}
+    assert sum(r["vec_id"] in near[r["query_id"]] for r in got) / len(got) >= 0.9
+
+    built = ann.Forest.__init__
+    monkeypatch.setattr(ann.Forest, "__init__", lambda self, *a, **k: (built(self, *a, **k), made.append(len(self.vectors)))[0])
+    made, held = [], type("Held", (), {"value": (np.arange(3), v[:3])})
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(500)), pa.array(v.tolist(), pa.list_(pa.float32()))], ["vec_id", "v"])
+    assert sum(b.num_rows for b in ann._search(iter([batch]), held, 16, 10, ann.EFFORT)) == 30 and made == [500]
