@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lemmata.llm import binary, decontam, jaccard, mixing, tokenize, toxicity
 from lemmata.session import ensure_importable, table
 
-#: no document is left out by the mixture: the largest source is used once, the smallest so often
-REPEATS = 1.25
+#: the mixture's target entropy, as a part of the most possible, and how often a source is used at
+#: most; no document is left out, the largest source is used once
+ENTROPY, REPEATS = 0.95, 1.25
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ensure_importable(spark)
-    return mixing.apply_mix(docs, repeats=REPEATS, fill=True)
+    return mixing.apply_mix(docs, entropy=ENTROPY, repeats=REPEATS, fill=True)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

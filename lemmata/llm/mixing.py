@@ -17,6 +17,8 @@ further columns are ignored by `mix` and kept by `apply_mix`. An empty table giv
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,11 @@ def _mark(seed: int, *cols):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))
 
 
-def _exponent(totals: DataFrame, all_tokens: int, sources: int, budget: float, entropy: float | None, repeats: float | None) -> float:
-    """The largest exponent whose entropy reaches its target, raised to the least that keeps the limit."""
+def _exponent(totals: DataFrame, all_tokens: int, sources: int, budget: Callable[[float, float], float], entropy: float | None, repeats: float | None) -> float:
+    """The largest exponent whose entropy reaches its target, raised to the least that keeps the limit.
+
+    budget: of an exponent and the sum of its powers.
+    """
     import math
 
     shares = totals.where("tokens > 0").select(F.log(F.col("tokens") / F.lit(float(all_tokens))).alias("q"))
@@ -59,7 +64,7 @@ def _exponent(totals: DataFrame, all_tokens: int, sources: int, budget: float, e
         lo, hi = search(lambda e, z, zq, _: math.log(z) - e * zq / z >= target)
         e = (lo + hi) / 2
     if repeats is not None:
-        lo, hi = search(lambda e, z, _, most: budget * most / (z * all_tokens) > repeats)
+        lo, hi = search(lambda e, z, _, most: budget(e, z) * most / (z * all_tokens) > repeats)
         least = 0.0 if hi <= 2.0**-HALVINGS else (lo + hi) / 2
         e = max(e, least) if entropy is not None else least
     return e
@@ -70,7 +75,8 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
 
     entropy: target as a part of the most possible, of the weights; repeats: most passes over a
     source; budget: tokens of the mixture (default: as many as there are). fill: instead of a budget,
-    the largest source is used once and the smallest `repeats` times, so every document is kept.
+    the largest source is used once and the others as often as the weights ask, so every document is
+    kept; the exponent is searched as ever.
     """
     if entropy is None and repeats is None:
         raise ValueError("give a target entropy or a repetition limit")
@@ -84,16 +90,13 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
     blocks = _graph.cut(dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens")))
     totals = _graph.cut(blocks.groupBy("source").agg(F.sum("block_tokens").alias("tokens")))
     sources = totals.where("tokens > 0").count()
-    if fill:
-        budget = _fill(totals, all_tokens, repeats)
-        e = budget[1]
-        budget = budget[0]
-    else:
-        budget = float(all_tokens if budget is None else budget)
-        e = _exponent(totals, all_tokens, sources, budget, entropy, repeats) if all_tokens else 1.0
+    largest = (totals.agg(F.max("tokens")).first()[0] if fill else None) or 0
+    fixed = float(all_tokens if budget is None else budget)
+    given = (lambda e, z: largest * z / (largest / all_tokens) ** e) if largest else (lambda e, z: fixed)
+    e = _exponent(totals, all_tokens, sources, given, entropy, repeats) if all_tokens else 1.0
     q = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(all_tokens or 1)), F.lit(e))).otherwise(0.0)
     z = totals.agg(F.sum(q)).first()[0] or 1.0
-    quota = totals.withColumn("weight", q / F.lit(z)).withColumn("quota", F.col("weight") * F.lit(budget))
+    quota = totals.withColumn("weight", q / F.lit(z)).withColumn("quota", F.col("weight") * F.lit(given(e, z)))
     # a hair of tolerance, so that a quota of exactly n passes is n passes
     quota = quota.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens") + 1e-9)).otherwise(1))
     quota = quota.withColumn("rest", F.greatest(F.lit(0.0), F.col("quota") - F.col("full") * F.col("tokens")) + 1e-6)
@@ -109,18 +112,6 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
     return joined.select("doc_id", "source", "n_tokens", "weight", uses.cast("int").alias("uses"), "tie")
 
 
-def _fill(totals: DataFrame, all_tokens: int, repeats: float) -> tuple[float, float]:
-    """Budget and exponent at which the largest source is used once and the smallest `repeats` times."""
-    import math
-
-    r = totals.where("tokens > 0").agg(F.min("tokens"), F.max("tokens")).first()
-    if r[0] is None or r[0] == r[1]:
-        return float(all_tokens), 1.0
-    e = max(0.0, 1.0 - math.log(repeats) / math.log(r[1] / r[0]))
-    z = totals.where("tokens > 0").agg(F.sum(F.pow(F.col("tokens") / F.lit(float(all_tokens)), F.lit(e)))).first()[0]
-    return r[1] * z / (r[1] / all_tokens) ** e, e
-
-
 def realise(mixed: DataFrame, seed: int = 7) -> DataFrame:
     """The order of training: a row for each use (doc_id, epoch, block_key, doc_key), a permutation for each epoch."""
     each = mixed.where("uses > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("uses"))))

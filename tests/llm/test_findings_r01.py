@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lemmata.llm import ann, pii, urls
+import corpus_pipeline
+from lemmata.llm import ann, mixing, pii, urls
 
 
 def rows(df):
@@ -87,3 +88,18 @@ def test_ann_small_shards_use_the_forest(spark, monkeypatch):
     made, held = [], type("Held", (), {"value": (np.arange(3), v[:3])})
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(500)), pa.array(v.tolist(), pa.list_(pa.float32()))], ["vec_id", "v"])
     assert sum(b.num_rows for b in ann._search(iter([batch]), held, 16, 10, ann.EFFORT)) == 30 and made == [500]
+
+
+def test_filled_mixture_searches_the_target_entropy(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "big" if i % 3 else "small") for i in range(3000)], "doc_id long, text string, source string")
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        e = (lo + hi) / 2
+        p = (2 / 3) ** e / ((2 / 3) ** e + (1 / 3) ** e)
+        lo, hi = (e, hi) if -p * math.log(p) - (1 - p) * math.log(1 - p) >= 0.95 * math.log(2) else (lo, e)
+    small = 1000 * 2 ** (1 - lo)
+    assert 1000 < small < 1240
+    got = rows(mixing.mix(docs, entropy=0.95, repeats=4.0, fill=True))
+    assert min(r["uses"] for r in got) == 1 and sum(r["uses"] for r in got if r["source"] == "big") == 2000
+    assert abs(sum(r["uses"] for r in got if r["source"] == "small") - small) <= 1
+    assert abs(corpus_pipeline.mix_sources(spark, docs, "").count() - 2000 - small) <= 1
