@@ -8,7 +8,10 @@ token probabilities; their sum and maximum give a calibrated document score, and
 tokens the offending offsets (code points).
 
 The model is fitted on at most `SAMPLE` labelled rows of at most `SAMPLE_CHARS` characters, chosen by
-a hash of doc_id; scoring reads every whole text. Chains longer than `SEGMENT` words are cut into
+a hash of doc_id; scoring reads every whole text. The marks and the document score are fitted on all
+of these rows; the chain on segments of `TRAIN_WORDS` words: at most `TRAIN_SEGMENTS` with a toxic
+token, and at most as many of every `PLAIN`th without one, both the least by a hash of row and place,
+so that every row of the sample has its chance. Chains longer than `SEGMENT` words are cut into
 segments of that many.
 
 Defined cases: a null or empty text scores as one without toxic tokens; a null label is no label;
@@ -34,8 +37,8 @@ SAMPLE, SAMPLE_CHARS, SEGMENT = 8_000, 100_000, 256
 SLOTS = 1 << 20
 #: (from the word's start?, bytes): the word itself, prefixes and a suffix
 AFFIXES = ((True, 4), (True, 5), (True, 6), (True, 7), (False, 5))
-#: segments of the training set and words in each
-TRAIN_SEGMENTS, TRAIN_WORDS = 4_000, 48
+#: segments of each kind in the training set, words in each, and one of so many plain ones
+TRAIN_SEGMENTS, TRAIN_WORDS, PLAIN = 4_000, 48, 7
 
 
 @dataclass
@@ -168,6 +171,13 @@ def _fit_chain(slots: np.ndarray, y: np.ndarray, length: np.ndarray, dims: int,
     return theta, bias, moves
 
 
+def least(held: list[tuple[int, np.ndarray, np.ndarray]]) -> int:
+    """Cut to the `TRAIN_SEGMENTS` of least hash; the hash of the last one."""
+    held.sort(key=lambda x: x[0])
+    del held[TRAIN_SEGMENTS:]
+    return held[-1][0] if held else 0
+
+
 def fit(column: pa.Array | pa.ChunkedArray, toxic: np.ndarray) -> Model:
     """A model from a string column and its 0/1 labels. The texts stay in Arrow's memory."""
     none = Model(np.zeros(SLOTS, np.float32), -8.0, np.zeros((2, 2)), np.array([-30.0, 0, 0, 0]), False)
@@ -196,17 +206,25 @@ def fit(column: pa.Array | pa.ChunkedArray, toxic: np.ndarray) -> Model:
     chosen = np.flatnonzero(marks)
     index = np.full(SLOTS, len(chosen), np.int32)
     index[chosen] = np.arange(len(chosen))
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    plain: list[tuple[np.ndarray, np.ndarray]] = []
+    rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+    plain: list[tuple[int, np.ndarray, np.ndarray]] = []
+    bound = {id(rows): 1 << 64, id(plain): 1 << 64}
     for w in words(column, ALNUM, LOWER):
         f = features(w)
         y = marks[f].any(1) & (toxic[w.lo : w.hi][w.doc] == 1)
         start, length = segments(w.first, TRAIN_WORDS)
-        for k, (s, m) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
+        doc = np.searchsorted(w.first, start, "right") - 1
+        chance = mix((doc + w.lo).astype(U) << U(32) | (start - w.first[doc]).astype(U))
+        for s, m, h in zip(start.tolist(), length.tolist(), chance.tolist(), strict=True):
             hit = y[s : s + m].any()
-            if hit and len(rows) < TRAIN_SEGMENTS or not hit and (k + w.lo) % 7 == 0 and len(plain) < TRAIN_SEGMENTS:
-                (rows if hit else plain).append((index[f[s : s + m]], y[s : s + m]))
-    rows += plain
+            held = rows if hit else plain
+            if h < bound[id(held)] and (hit or h % PLAIN == 0):
+                held.append((h, index[f[s : s + m]], y[s : s + m]))
+                if len(held) >= 2 * TRAIN_SEGMENTS:
+                    bound[id(held)] = least(held)
+    for held in (rows, plain):
+        least(held)
+    rows = [x[1:] for x in rows + plain]
     rows.sort(key=lambda x: -len(x[1]))
     width, length = len(rows[0][1]), np.array([len(x[1]) for x in rows])
     slots = np.full((len(rows), width, 1 + len(AFFIXES)), len(chosen), np.int32)

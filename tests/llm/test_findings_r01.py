@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lemmata.llm import ann, mixing, pii, urls
+from lemmata.llm import ann, mixing, pii, toxicity, urls
 
 
 def rows(df):
@@ -103,3 +103,17 @@ def test_filled_mixture_searches_the_target_entropy(spark):
     assert min(r["uses"] for r in got) == 1 and sum(r["uses"] for r in got if r["source"] == "big") == 2000
     assert abs(sum(r["uses"] for r in got if r["source"] == "small") - small) <= 1
     assert abs(corpus_pipeline.mix_sources(spark, docs, "").count() - 2000 - small) <= 1
+
+
+def test_chain_is_fitted_on_segments_of_all_rows(monkeypatch):
+    r = random.Random(4)
+    toxic = np.array([i % 4 == 0 for i in range(600)]).astype(int)
+    plain = lambda: " ".join(f"w{r.randrange(300)}" for _ in range(40))
+    texts = [plain() + (" grumble" if i < 300 else " snarling") * int(toxic[i]) for i in range(600)]
+    seen, fitted = [], toxicity._fit_chain
+    monkeypatch.setattr(toxicity, "TRAIN_SEGMENTS", 30)
+    monkeypatch.setattr(toxicity, "_fit_chain", lambda slots, y, *a: (seen.append((slots, y)), fitted(slots, y, *a))[1])
+    toxicity.fit(pa.array(texts), toxic)
+    slots, y = seen[0]
+    assert 30 < len(y) <= 60 and (y.sum(1) > 0).sum() == 30
+    assert len({tuple(x) for x in slots[y == 1].tolist()}) == 2
