@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lemmata.llm import _graph
 from lemmata.llm._bytes import LOWER, NON_SPACE, U, list_array, mix, ngram_sets, signed, words
@@ -134,6 +135,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     the least doc_id reachable by links, n_links how many other documents it links with directly.
     The signatures are laid out for 80 percent; a smaller threshold is refused.
     """
+    return _joined(docs, n, percent, id_col, text_col).drop("node", "root")
+
+
+def _joined(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `jaccard_join` with the name of each row's set (node) and of its component (root)."""
     if percent < 80:
         raise ValueError("the signatures hold for thresholds of 80 percent or more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -156,9 +162,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     joined = _graph.components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     rooted = joined.join(classes.select("node", "rep"), "node")
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
-    found = rooted.join(least, "root").select("node", "least").join(links, "node", "left")
+    found = rooted.join(least, "root").select("node", "root", "least").join(links, "node", "left")
     facts = classes.join(found, "node", "left").select(
-        "node", F.coalesce("least", "rep").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return (
         base.select("doc_id", "n_shingles", "node")
@@ -168,20 +174,36 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
             "n_shingles",
             F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
             F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+            "node",
+            "root",
         )
     )
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that lead their component, one row for each leading doc_id.
+def _named(batches: Iterator[pa.RecordBatch], n: int, text_col: str) -> Iterator[pa.RecordBatch]:
+    """The rows with the name of each one's set, null without words."""
+    for b in batches:
+        names = [stamp(s) if len(s) else None for s in shingle_sets(b.column(text_col), n)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], [*b.schema.names, "_name"])
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that lead their component, one row for each component.
 
-    Rows without words and rows with a null doc_id stay.
+    Rows without words and rows with a null doc_id stay. Rows that share a doc_id are told apart by
+    their sets, so unlike texts under one doc_id are judged each in its own component.
     """
-    groups = _graph.cut(jaccard_join(docs, **options).where("n_shingles > 0 and doc_id is not null"))
+    own = F.col(id_col).cast("long")
+    again = docs.where(own.isNotNull()).groupBy(own.alias("_again")).count().where("count > 1").select("_again")
+    unlike = not again.isEmpty()
+    found = _joined(docs, n, percent, id_col, text_col) if unlike else jaccard_join(docs, n, percent, id_col, text_col)
+    groups = _graph.cut(found.where("n_shingles > 0 and doc_id is not null"))
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    if not unlike:
+        return docs.join(gone, own == F.col("_gone"), "left_anti")
+    kept = docs.join(again, own == F.col("_again"), "left_anti").join(gone, own == F.col("_gone"), "left_anti")
+    repeated = docs.join(again, own == F.col("_again"), "left_semi")
+    named = repeated.mapInArrow(partial(_named, n=n, text_col=text_col), StructType([*repeated.schema.fields, StructField("_name", LongType())]))
+    leaders = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_lead"), F.col("node").alias("_node"), F.col("root").alias("_root")).distinct()
+    once = named.join(leaders, (own == F.col("_lead")) & (F.col("_name") == F.col("_node"))).dropDuplicates(["_lead", "_root"])
+    return kept.unionByName(once.select(docs.columns)).unionByName(named.where("_name is null").select(docs.columns))

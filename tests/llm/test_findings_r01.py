@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lemmata.llm import ann, mixing, pii, toxicity, urls
+from lemmata.llm import ann, jaccard, mixing, pii, toxicity, urls
 
 
 def rows(df):
@@ -117,3 +117,11 @@ def test_chain_is_fitted_on_segments_of_all_rows(monkeypatch):
     slots, y = seen[0]
     assert 30 < len(y) <= 60 and (y.sum(1) > 0).sum() == 30
     assert len({tuple(x) for x in slots[y == 1].tolist()}) == 2
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    docs = [(1, a), (5, a), (5, b), (5, b), (5, ""), (6, b), (7, c), (7, c + " end"), (7, b.replace("b", "d")), (8, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"][:1]) for r in rows(jaccard.keep_first(df)))
+    assert got == [(1, "a"), (5, ""), (5, "b"), (7, "c"), (7, "d"), (8, "")]
