@@ -1,7 +1,8 @@
 """Shared keys, connected components and exact set verification, all distributed.
 
 `shared` finds the nodes that share a key, `components` is a distributed union-find, `verify`
-compares the sets of candidate groups exactly, block by block.
+compares the sets of candidate groups exactly, block by block, and `spread_join` looks up one row for
+each key where a key may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -14,19 +15,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: pairs that a task holds before it hands them on
-FLUSH = 2_000_000
+from lemmata.llm._bytes import pieces, text_bytes
+
+#: pairs that a task holds before it hands them on, and edges that a bucket of `components` has on average at most
+FLUSH, HELD = 2_000_000, 2_000_000
 #: buckets per shuffle partition; a task holds one at a time
 FINE = 8
 #: shingles and members that one side of a verification block holds on average
-BLOCK_ITEMS, BLOCK_ROWS = 500_000, 1024
+BLOCK_ITEMS, BLOCK_ROWS = 1_000_000, 2048
+#: features that one dense product of `common` takes, and bytes of text whose sets are made at once
+DENSE, TOGETHER = 1024, 4 << 20
+#: kinds of message in `components`: a node's parent, an edge of another bucket's node, a question
+#: after a node's root and its answer, and the mark of a bucket that changed
+OWN, EDGE, ASK, ANSWER, CHANGED = range(5)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's, else one of this machine in local mode."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        known = sc._jsc.sc().getCheckpointDir()
+        if known.isEmpty() and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lemmata-") if known.isEmpty() else known.get()
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(base)
+    return base
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the cluster's checkpoint folder and go on from there (lineage ends)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lemmata-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -34,6 +54,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Joins the one row of `right` for each `key` to the rows of `left`, however many of these share a key.
+
+    The rows of a key are dealt over all partitions by `by`; each partition's share asks once, so
+    neither side has more rows of one key in a task than there are partitions, or its dealt share.
+    """
+    dealt = left.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(partitions(left.sparkSession))))
+    told = dealt.select(key, "_s").distinct().join(right, key)
+    return dealt.join(told, [key, "_s"], how).drop("_s")
+
+
 def _by_key(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, node) in order, each key's first row, and how many nodes it has."""
     order = np.lexsort((node, key))
@@ -48,16 +79,27 @@ def _by_key(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key, node, at, np.diff(np.append(at, len(key)))
 
 
-def shared(df: DataFrame, node: str, keys: str) -> DataFrame:
-    """(key, node) for every key that two or more distinct nodes hold.
+def _many(key: np.ndarray, node: np.ndarray, at: np.ndarray, n: np.ndarray, stars: bool) -> np.ndarray:
+    """Rows (key, node) of the keys with two nodes or more; as stars (least node, other node) instead."""
+    if not stars:
+        return np.stack([key, node], 1)[np.repeat(n > 1, n)]
+    others = np.ones(len(key), bool)
+    others[at] = False
+    return np.stack([np.repeat(node[at], n), node], 1)[others]
+
+
+def shared(df: DataFrame, node: str, keys: str, stars: bool = False) -> DataFrame:
+    """(key, node) for every key that two or more distinct nodes hold, some of them more than once.
 
-    `node` is one long or an array of longs, `keys` an array of longs, for an array of nodes as many
-    for each. Each task first joins its own nodes by key and sends only the smallest of them on, so
-    a key that a third of all rows hold reaches its bucket once per task.
+    With `stars`, edges (a, b) instead that connect all nodes of a key. `node` is one long or an array
+    of longs, `keys` an array of longs, for an array of nodes as many for each. Each task first joins
+    its own nodes by key and sends only the smallest of them on, so a key that a third of all rows
+    hold reaches its bucket once per task.
     """
     spark = df.sparkSession
     parts = partitions(spark)
     buckets = parts * FINE
+    names = ["a", "b"] if stars else ["key", "node"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -67,14 +109,13 @@ def shared(df: DataFrame, node: str, keys: str) -> DataFrame:
                 return
             key, who, at, n = _by_key(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            many = np.repeat(n > 1, n)
-            pairs = np.stack([key, who], 1)
+            met = _many(key, who, at, n, stars)
             rows, blobs, done = [], [], []
-            for a in range(0, int(many.sum()), FLUSH):
+            for a in range(0, len(met), FLUSH):
                 rows.append(abs(hash((len(rows), int(key[0])))) % buckets)
-                blobs.append(np.ascontiguousarray(pairs[many][a : a + FLUSH]).tobytes())
+                blobs.append(np.ascontiguousarray(met[a : a + FLUSH]).tobytes())
                 done.append(True)
-            lead = pairs[at]
+            lead = np.stack([key[at], who[at]], 1)
             place = (lead[:, 0].view(np.uint64) >> np.uint64(17)) % np.uint64(buckets)
             order = np.argsort(place, kind="stable")
             lead, place = lead[order], place[order].astype(np.int64)
@@ -107,23 +148,21 @@ def shared(df: DataFrame, node: str, keys: str) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def out(key, who):
-            for a in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(who[a : a + 100_000])], ["key", "node"])
+        def out(pairs):
+            for a in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[a : a + 100_000, c])) for c in (0, 1)], names)
 
         def close():
             if held:
                 pairs = np.concatenate(held)
-                key, who, _, n = _by_key(pairs[:, 0], pairs[:, 1])
-                many = np.repeat(n > 1, n)
-                yield from out(key[many], who[many])
+                yield from out(_many(*_by_key(pairs[:, 0], pairs[:, 1]), stars))
                 held.clear()
 
         for b in batches:
             for bucket, done, blob in zip(*(b.column(i) for i in range(3)), strict=True):
                 pairs = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2)
                 if done.as_py():
-                    yield from out(pairs[:, 0], pairs[:, 1])
+                    yield from out(pairs)
                     continue
                 if bucket.as_py() != now:
                     yield from close()
@@ -136,41 +175,131 @@ def shared(df: DataFrame, node: str, keys: str) -> DataFrame:
         .mapInArrow(local, "bucket long, done boolean, blob binary")
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(meet, "key long, node long")
-        .distinct()
+        .mapInArrow(meet, ", ".join(f"{x} long" for x in names))
     )
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Edges from each key's smallest node to its others."""
-    least = members.groupBy("key").agg(F.min("node").alias("a"))
-    return members.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, sorted, and of each the smallest node that it is connected with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _bucket(node: np.ndarray, buckets: int) -> np.ndarray:
+    h = node.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _messages(rows: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(dest, kind, a, b), in batches."""
+    for dest, kind, a, b in rows:
+        for i in range(0, len(a), 100_000):
+            s = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(dest[s]), pa.array(np.full(len(a[s]), kind, np.int8)), pa.array(a[s]), pa.array(b[s])], ["dest", "kind", "a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of `edges` (a, b), root the smallest node of the component.
 
-    Alternating large-star and small-star steps; each round is written to the checkpoint folder and
-    only counts and checksums come to the driver.
+    Every node belongs to a bucket by hash, which keeps its parent. In each round a bucket joins all
+    it knows by union-find, tells the buckets of other nodes of the parents it found for them, and asks
+    those of its roots whether these have roots in turn; answers shorten the paths of the next round, so the
+    rounds grow with the logarithm of a component's diameter. A bucket sends one row at most
+    for each node and each root, so a root with any number of members receives no more rows than there
+    are buckets. Each round is one shuffle and is written to the checkpoint folder; only whether there is
+    news comes to the driver.
     """
-    e = cut(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-
-    def mark(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    was = mark(e)
-    while was[0]:
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("m").alias("u"), F.col("y").alias("v")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v")
-        e = cut(small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v")).union(least.select(F.col("m").alias("u"), "v")).distinct())
-        now = mark(e)
-        if now == was:
+    spark = edges.sparkSession
+    schema = "dest long, kind byte, a long, b long"
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            nodes, root = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            low = nodes != root
+            yield from _messages([(np.zeros(low.sum(), np.int64), EDGE, nodes[low], root[low])])
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+                size += b.num_rows
+            if size >= FLUSH:
+                yield from flush()
+                size = 0
+        if size:
+            yield from flush()
+
+    e = cut(edges.where("a <> b").select("a", "b").mapInArrow(contract, schema))
+    buckets = max(partitions(spark), -(-e.count() // HELD))
+
+    def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a = b.column(2).to_numpy()
+            yield from _messages([(_bucket(a, buckets), EDGE, a, b.column(3).to_numpy())])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
+        if not got:
+            return
+        dest, kind, a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+        here = np.unique(dest)
+        asks, own, told = kind == ASK, kind == OWN, kind == ANSWER
+        known = own | told | (kind == EDGE)
+        nodes, root = forest(a[known], b[known])
+
+        def root_of(x: np.ndarray) -> np.ndarray:
+            if not len(nodes):
+                return x
+            i = np.minimum(np.searchsorted(nodes, x), len(nodes) - 1)
+            return np.where(nodes[i] == x, root[i], x)
+
+        low = nodes != root
+        x, r = nodes[low], root[low]
+        place = _bucket(x, buckets)
+        mine = np.isin(place, here)
+        away = ~mine
+        if told.any():  # what an answer said, its bucket knows
+            sure = root_of(a[told]) == b[told]
+            away &= ~np.isin(x, a[told][sure])
+        roots = np.unique(r[mine])
+        there = _bucket(roots, buckets)
+        other = ~np.isin(there, here)
+        up = root_of(a[asks])
+        answers = up != a[asks]
+        same = mine.sum() == len(np.unique(a[own])) and (root_of(a[own]) == b[own]).all()
+        out = [
+            (place[mine], OWN, x[mine], r[mine]),
+            (place[away], EDGE, x[away], r[away]),
+            (there[other], ASK, roots[other], np.full(other.sum(), here[0])),
+            (b[asks][answers], ANSWER, a[asks][answers], up[answers]),
+        ]
+        if not same:
+            out.append((here[:1], CHANGED, here[:1], here[:1]))
+        yield from _messages(out)
+
+    e = e.mapInArrow(address, schema)
+    while True:
+        e = cut(e.where(F.col("kind") != CHANGED).repartition(buckets, "dest").mapInArrow(step, schema))
+        if e.where(F.col("kind").isin(EDGE, ANSWER, CHANGED)).isEmpty():
             break
-        was = now
-    return e.select(F.col("v").alias("node"), F.col("u").alias("root")).union(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    kept = e.where(F.col("kind") == OWN)
+    return kept.select(F.col("a").alias("node"), F.col("b").alias("root")).union(kept.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
@@ -180,7 +309,7 @@ def in_blocks(members: DataFrame) -> DataFrame:
     blocks meets once, so no group has to fit into one task.
     """
     size = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("items") / BLOCK_ITEMS), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
-    dealt = members.join(size, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = spread_join(members, size, "root", "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     return (
         dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("bi", F.least("own", "other"))
@@ -189,35 +318,66 @@ def in_blocks(members: DataFrame) -> DataFrame:
     )
 
 
-def similar(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, the later ones (of the other side, if sides differ) with Jaccard >= percent/100, exactly."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if (sides is None or sides[0] != sides[1]) and 100 * both >= percent * (sizes.sum() - both):
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many features each set of `left` shares with each of `right` (sorted distinct hashes).
+
+    Features that a sixth of the sets or more hold are counted by products of 0/1 matrices, the others
+    by their lists of holders.
+    """
+    both = np.zeros((len(left), len(right)), np.float32)
+    flat = [np.concatenate(s) for s in (left, right)]
+    who = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    met = np.intersect1d(*(np.unique(x) for x in flat))
+    if not len(met):
+        return both
+    for k in (0, 1):
+        code = np.minimum(np.searchsorted(met, flat[k]), len(met) - 1)
+        held = met[code] == flat[k]
+        order = np.argsort(code[held], kind="stable")
+        flat[k], who[k] = code[held][order], who[k][held][order]
+    at = [np.searchsorted(f, np.arange(len(met) + 1)) for f in flat]
+    n = [np.diff(a) for a in at]
+    dense = (6 * n[0] >= len(left)) & (6 * n[1] >= len(right)) & (n[0] * n[1] >= 64)
+    heavy = np.flatnonzero(dense)
+    for a in range(0, len(heavy), DENSE):
+        some = heavy[a : a + DENSE]
+        column = np.full(len(met), -1)
+        column[some] = np.arange(len(some))
+        sides = []
+        for k, s in ((0, left), (1, right)):
+            use = column[flat[k]] >= 0
+            m = np.zeros((len(s), len(some)), np.float32)
+            m[who[k][use], column[flat[k][use]]] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    light = ~dense[flat[0]]
+    order = np.argsort(who[0][light], kind="stable")
+    code, row = flat[0][light][order], who[0][light][order]
+    bounds = np.searchsorted(row, np.arange(len(left) + 1))
+    for i in range(len(left)):
+        c = code[bounds[i] : bounds[i + 1]]
+        if len(c):
+            m = n[1][c]
+            index = np.repeat(at[1][c] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            both[i] += np.bincount(who[1][index], minlength=len(right))
+    return both
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of `left` those of `right` (without one: the later ones of `left`) with Jaccard >= percent/100, exactly."""
+    other = left if right is None else right
+    if right is None and len(left) == 2:
+        both = len(np.intersect1d(left[0], left[1], assume_unique=True))
+        if 100 * both >= percent * (len(left[0]) + len(left[1]) - both):
             yield 0, np.array([1])
         return
-    flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, who = flat[order], who[order]
-    head = np.ones(len(flat), bool)
-    head[1:] = flat[1:] != flat[:-1]
-    at = np.append(np.flatnonzero(head), len(flat))
-    code = np.empty(len(flat), np.int64)
-    code[order] = np.cumsum(head) - 1
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    for i in range(len(sets) - 1):
-        c = code[starts[i] : starts[i + 1]]
-        c = c[at[c + 1] - at[c] > 1]
-        if not len(c):
-            continue
-        n = at[c + 1] - at[c]
-        index = np.repeat(at[c] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(who[index], minlength=len(sets))
-        near = 100 * both >= percent * (sizes[i] + sizes - both)
-        near[: i + 1] = False
-        if sides is not None:
-            near &= sides != sides[i]
+    sizes = [np.array([len(s) for s in x], np.int64) for x in (left, other)]
+    both = common(left, other)
+    for i in range(len(left)):
+        shares = both[i].astype(np.int64)
+        near = 100 * shares >= percent * (sizes[0][i] + sizes[1] - shares)
+        if right is None:
+            near[: i + 1] = False
         if near.any():
             yield i, np.flatnonzero(near)
 
@@ -232,46 +392,46 @@ def verify(blocks: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], perc
     """
     parts = partitions(blocks.sparkSession)
 
+    def pairs(held: dict[int, tuple[int, int, np.ndarray]], within: bool, first: int) -> pa.RecordBatch | None:
+        node = np.array(list(held), np.int64)
+        own = np.array([x[0] for x in held.values()])
+        copies = np.array([x[1] for x in held.values()], np.int64)
+        sets = [x[2] for x in held.values()]
+        l, r = (np.arange(len(node)),) * 2 if within else (np.flatnonzero(own == first), np.flatnonzero(own != first))
+        if len(node) < 2 or not len(l) or not len(r):
+            return None
+        links = np.zeros(len(node), np.int64)
+        a, b = [], []
+        for i, near in similar([sets[k] for k in l], None if within else [sets[k] for k in r], percent):
+            links[l[i]] += copies[r[near]].sum()
+            links[r[near]] += copies[l[i]]
+            a.append(np.full(len(near), node[l[i]]))
+            b.append(node[r[near]])
+        if not a:
+            return None
+        nodes, root = forest(np.concatenate(a), np.concatenate(b))
+        order = np.argsort(node)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(links[order[np.searchsorted(node[order], nodes)]])], ["node", "root", "links"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, held = None, {}
 
         def close():
-            if not rows:
-                return
-            node, own, copies = (np.array([r[i] for r in rows]) for i in range(3))
-            sets = make(pa.array([r[3] for r in rows], pa.large_string()))
-            good = [i for i, s in enumerate(sets) if stamp is None or stamp(s) == node[i]]
-            seen: set[int] = set()
-            good = [i for i in good if not (node[i] in seen or seen.add(node[i]))]
-            rows.clear()
-            if len(good) < 2:
-                return
-            node, own, copies, sets = node[good], own[good], copies[good], [sets[i] for i in good]
-            parent, links = list(range(len(good))), np.zeros(len(good), np.int64)
-
-            def root(i):
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
-            for i, near in similar(sets, None if now[1] == now[2] else own, percent):
-                links[i] += copies[near].sum()
-                links[near] += copies[i]
-                for j in near.tolist():
-                    a, b = root(i), root(j)
-                    if a != b:
-                        parent[a if node[a] > node[b] else b] = b if node[a] > node[b] else a
-            hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(np.array([node[root(i)] for i in hit.tolist()], np.int64)), pa.array(links[hit])], ["node", "root", "links"])
+            if len(held) > 1 and (out := pairs(held, now[1] == now[2], now[1])):
+                yield out
+            held.clear()
 
-        for b in batches:
-            for r in b.to_pylist():
-                key = (r["root"], r["bi"], r["bj"])
-                if key != now:
-                    yield from close()
-                    now = key
-                rows.append((r["node"], r["own"], r["copies"], r["text"]))
+        for batch in batches:
+            for lo, hi in pieces(text_bytes(batch.column(6))[1], TOGETHER):  # sets of many groups
+                b = batch.slice(lo, hi - lo)
+                sets = make(b.column(6))
+                keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+                for key, own, node, copies, s in zip(keys, *(b.column(i).to_pylist() for i in range(3, 6)), sets, strict=True):
+                    if key != now:
+                        yield from close()
+                        now = key
+                    if node not in held and (stamp is None or stamp(s) == node):
+                        held[node] = (own, copies, s)
         yield from close()
 
     return (

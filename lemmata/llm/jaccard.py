@@ -145,39 +145,28 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = _graph.cut(docs.mapInArrow(partial(_sign, n=n), "doc_id long, n_shingles long, node long, sigs array<long>"))
     some = base.where("n_shingles > 0")
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("items"))
-
-    members = _graph.cut(_graph.shared(some, "node", "sigs"))
-    for _ in range(2):  # a similar pair shares three signatures; sets of up to 13 features one
-        kept = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("key").bitwiseAND(F.lit(1))).alias("tiny")).where("n >= 3 or tiny = 1").select("node")
-        left = members.join(kept, "node", "left_semi")
-        full = left.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-        members = left.join(full, "key", "left_semi")
-    candidates = _graph.components(_graph.stars(_graph.cut(members)))
+    classes = _graph.cut(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("items")))
+
+    keys = _graph.shared(some, "node", "sigs").groupBy("node").agg(F.collect_set("key").alias("keys"))
+    # a similar pair shares three signatures; sets of up to 13 features one
+    likely = keys.where((F.size("keys") >= 3) | F.exists("keys", lambda k: k.bitwiseAND(F.lit(1)) == 1))
+    candidates = _graph.components(_graph.shared(likely, "node", "keys", stars=True))
     chosen = candidates.join(classes, "node").select("node", "root", "rep", "copies", "items")
     blocks = _graph.in_blocks(_graph.cut(chosen)).join(docs, F.col("rep").eqNullSafe(F.col("doc_id")))
     linked = _graph.cut(_graph.verify(blocks, partial(shingle_sets, n=n), percent, stamp))
 
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     joined = _graph.components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    rooted = joined.join(classes.select("node", "rep"), "node")
+    rooted = _graph.cut(joined.join(classes.select("node", "rep"), "node").join(links, "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
-    found = rooted.join(least, "root").select("node", "root", "least").join(links, "node", "left")
+    found = _graph.spread_join(rooted.drop("rep"), least, "root", "node")
     facts = classes.join(found, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    return (
-        base.select("doc_id", "n_shingles", "node")
-        .join(facts.withColumn("some", F.lit(True)), "node", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-            F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-            "node",
-            "root",
-        )
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
+    out = ("doc_id", "n_shingles", "component_id", F.col("n_links").cast("long").alias("n_links"), "node", "root")
+    full = _graph.spread_join(some.select("doc_id", "n_shingles", "node"), facts, "node", "doc_id").select(*out)
+    alone = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "node", F.lit(None).cast("long").alias("root"))
+    return full.unionAll(alone)
 
 
 def _named(batches: Iterator[pa.RecordBatch], n: int, text_col: str) -> Iterator[pa.RecordBatch]:
