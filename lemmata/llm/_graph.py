@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from lemmata.llm._bytes import pieces, text_bytes
 
 #: pairs that a task holds before it hands them on, and edges that a bucket of `components` has on average at most
-FLUSH, HELD = 2_000_000, 2_000_000
+FLUSH, HELD = 2_000_000, 250_000
 #: buckets per shuffle partition; a task holds one at a time
 FINE = 8
 #: shingles and members that one side of a verification block holds on average
 BLOCK_ITEMS, BLOCK_ROWS = 1_000_000, 2048
 #: features that one dense product of `common` takes, and bytes of text whose sets are made at once
 DENSE, TOGETHER = 1024, 4 << 20
+#: a key is hot if it holds more than one of so many rows (and more than 1,000)
+HOT = 50_000
 #: kinds of message in `components`: a node's parent, an edge of another bucket's node, a question
 #: after a node's root and its answer, and the mark of a bucket that changed
 OWN, EDGE, ASK, ANSWER, CHANGED = range(5)
@@ -65,13 +67,30 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str =
     return dealt.join(told, [key, "_s"], how).drop("_s")
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Joins the one row of `right` for each `key` to the rows of `left`; `count` is how many rows of `left` hold the key.
+
+    Keys with more than one of `HOT` rows (`total` in all) are fewer than `HOT` and are broadcast; of every
+    other key a task gets no more than that.
+    """
+    bound = max(1000, total // HOT)
+    hot = right.where(F.col(count) > bound)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(right.where(F.col(count) <= bound), key))
+
+
 def _by_key(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, node) in order, each key's first row, and how many nodes it has."""
-    order = np.lexsort((node, key))
+    order = np.argsort(key)
     key, node = key[order], node[order]
-    if len(key):
+    again = key[1:] == key[:-1]
+    many = np.append(again, False) | np.insert(again, 0, False)
+    if len(key) and many.any():  # only rows of keys that come again need their nodes sorted
+        some, who = key[many], node[many]
+        who = who[np.lexsort((who, some))]
+        node[many] = who
         fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        fresh[1:] = ~again | (node[1:] != node[:-1])
         key, node = key[fresh], node[fresh]
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
@@ -220,10 +239,9 @@ def components(edges: DataFrame) -> DataFrame:
     those of its roots whether these have roots in turn; answers shorten the paths of the next round, so the
     rounds grow with the logarithm of a component's diameter. A bucket sends one row at most
     for each node and each root, so a root with any number of members receives no more rows than there
-    are buckets. Each round is one shuffle and is written to the checkpoint folder; only whether there is
-    news comes to the driver.
+    are buckets. There is a bucket for every `HELD` edges; each round is one shuffle and is written to the
+    checkpoint folder, and only the kinds of messages that it sent come to the driver.
     """
-    spark = edges.sparkSession
     schema = "dest long, kind byte, a long, b long"
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
             yield from flush()
 
     e = cut(edges.where("a <> b").select("a", "b").mapInArrow(contract, schema))
-    buckets = max(partitions(spark), -(-e.count() // HELD))
+    buckets = max(1, -(-e.count() // HELD))
 
     def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,7 +314,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = e.mapInArrow(address, schema)
     while True:
         e = cut(e.where(F.col("kind") != CHANGED).repartition(buckets, "dest").mapInArrow(step, schema))
-        if e.where(F.col("kind").isin(EDGE, ANSWER, CHANGED)).isEmpty():
+        news = {r["kind"] for r in e.select("kind").distinct().collect()}
+        if not news & {EDGE, ASK, ANSWER} or not news & {EDGE, ANSWER, CHANGED}:
             break
     kept = e.where(F.col("kind") == OWN)
     return kept.select(F.col("a").alias("node"), F.col("b").alias("root")).union(kept.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -366,11 +385,6 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def similar(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each set of `left` those of `right` (without one: the later ones of `left`) with Jaccard >= percent/100, exactly."""
     other = left if right is None else right
-    if right is None and len(left) == 2:
-        both = len(np.intersect1d(left[0], left[1], assume_unique=True))
-        if 100 * both >= percent * (len(left[0]) + len(left[1]) - both):
-            yield 0, np.array([1])
-        return
     sizes = [np.array([len(s) for s in x], np.int64) for x in (left, other)]
     both = common(left, other)
     for i in range(len(left)):
@@ -392,14 +406,22 @@ def verify(blocks: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], perc
     """
     parts = partitions(blocks.sparkSession)
 
-    def pairs(held: dict[int, tuple[int, int, np.ndarray]], within: bool, first: int) -> pa.RecordBatch | None:
+    def two(held: dict[int, tuple[int, int, np.ndarray]]):
+        (x, (_, m, s)), (y, (_, n, t)) = held.items()
+        if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+            return
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        if 100 * both >= percent * (len(s) + len(t) - both):
+            yield np.array([x, y]), np.full(2, min(x, y)), np.array([n, m])
+
+    def some(held: dict[int, tuple[int, int, np.ndarray]], within: bool, first: int):
         node = np.array(list(held), np.int64)
         own = np.array([x[0] for x in held.values()])
         copies = np.array([x[1] for x in held.values()], np.int64)
         sets = [x[2] for x in held.values()]
         l, r = (np.arange(len(node)),) * 2 if within else (np.flatnonzero(own == first), np.flatnonzero(own != first))
-        if len(node) < 2 or not len(l) or not len(r):
-            return None
+        if not len(l) or not len(r):
+            return
         links = np.zeros(len(node), np.int64)
         a, b = [], []
         for i, near in similar([sets[k] for k in l], None if within else [sets[k] for k in r], percent):
@@ -407,20 +429,26 @@ def verify(blocks: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], perc
             links[r[near]] += copies[l[i]]
             a.append(np.full(len(near), node[l[i]]))
             b.append(node[r[near]])
-        if not a:
-            return None
-        nodes, root = forest(np.concatenate(a), np.concatenate(b))
-        order = np.argsort(node)
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(links[order[np.searchsorted(node[order], nodes)]])], ["node", "root", "links"])
+        if a:
+            nodes, root = forest(np.concatenate(a), np.concatenate(b))
+            order = np.argsort(node)
+            yield nodes, root, links[order[np.searchsorted(node[order], nodes)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now, held, found = None, {}, []
 
         def close():
-            if len(held) > 1 and (out := pairs(held, now[1] == now[2], now[1])):
-                yield out
+            if len(held) == 2 and now[1] == now[2]:
+                found.extend(two(held))
+            elif len(held) > 1:
+                found.extend(some(held, now[1] == now[2], now[1]))
             held.clear()
 
+        def send():
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["node", "root", "links"])
+                found.clear()
+
         for batch in batches:
             for lo, hi in pieces(text_bytes(batch.column(6))[1], TOGETHER):  # sets of many groups
                 b = batch.slice(lo, hi - lo)
@@ -428,11 +456,13 @@ def verify(blocks: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], perc
                 keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
                 for key, own, node, copies, s in zip(keys, *(b.column(i).to_pylist() for i in range(3, 6)), sets, strict=True):
                     if key != now:
-                        yield from close()
+                        close()
                         now = key
                     if node not in held and (stamp is None or stamp(s) == node):
                         held[node] = (own, copies, s)
-        yield from close()
+            yield from send()
+        close()
+        yield from send()
 
     return (
         blocks.select("root", "bi", "bj", "own", "node", "copies", "text")

@@ -161,10 +161,10 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     found = _graph.spread_join(rooted.drop("rep"), least, "root", "node")
     facts = classes.join(found, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "node", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     out = ("doc_id", "n_shingles", "component_id", F.col("n_links").cast("long").alias("n_links"), "node", "root")
-    full = _graph.spread_join(some.select("doc_id", "n_shingles", "node"), facts, "node", "doc_id").select(*out)
+    full = _graph.hot_join(some.select("doc_id", "n_shingles", "node"), _graph.cut(facts), "node", "copies", some.count()).select(*out)
     alone = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "node", F.lit(None).cast("long").alias("root"))
     return full.unionAll(alone)
 

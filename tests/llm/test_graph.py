@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lemmata.llm import _graph, jaccard
@@ -23,7 +24,9 @@ def roots(edges):
     return {x: find(x) for x in up}
 
 
-def test_components_of_chains_stars_and_repeats(spark):
+@pytest.mark.parametrize("held", [250_000, 700])
+def test_components_of_chains_stars_and_repeats(spark, monkeypatch, held):
+    monkeypatch.setattr(_graph, "HELD", held)
     r = random.Random(7)
     edges = [(i, i + 1) for i in range(-50, 900)] + [(5000, 5000 + i) for i in range(1, 3000)] + [(9000 + i, 9999) for i in range(200)]
     edges += [(r.randrange(20_000, 30_000), r.randrange(20_000, 30_000)) for _ in range(6000)] + [(1 << 62, -(1 << 62))] * 3
