@@ -3,7 +3,8 @@
 Each shard of documents becomes one sorted suffix array of word numbers (prefix doubling, which stops
 where all suffixes differ or the longest benchmark item is passed). Every suffix of every benchmark
 item is binary-searched in every shard; the range of training suffixes that share its window gives
-the occurrences, and comparison beyond the window the longest verbatim match and its place.
+the occurrences, and comparison with the neighbouring suffixes beyond the window the longest verbatim
+match and its place.
 
 Defined cases: null, empty and wordless texts have no words and hit nothing; an item of fewer words
 than the window is searched as a whole, one without words never; repeated rows are judged each on
@@ -23,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmata.llm._bytes import ALNUM, LOWER, Words, words
+from lemmata.llm import _graph
+from lemmata.llm._bytes import ALNUM, LOWER, Words, runs, words
 
 #: bytes of text in one shard's suffix array, and of benchmark text searched at once
 SHARD, BLOCK = 1 << 22, 32 << 20
-SCHEMA = "doc_id long, n_words long, hits array<int>, items array<long>, longest int, longest_at int"
+SCHEMA = "doc_id long, text string, n_words long, hits array<int>, items array<long>, longest int, longest_at int"
 
 
 @dataclass
 class Items:
-    """Benchmark suffixes: word hashes end to end, and for each suffix its place, item and item end."""
+    """Benchmark suffixes: word hashes end to end with a gap after each item, and for each suffix its place, item and item end."""
 
     word: np.ndarray
+    gap: np.ndarray
     at: np.ndarray
     end: np.ndarray
     width: np.ndarray
@@ -43,12 +46,14 @@ class Items:
 
 
 def prepare(ids: list, texts: list, window: int) -> Items:
-    hashes, at, end, width, item, known = [], [], [], [], [], []
+    hashes, gap, at, end, width, item, known = [], [], [], [], [], [], []
     base = 0
     for w in words(pa.array(texts, pa.large_string()), ALNUM, LOWER):
-        hashes.append(w.hashes)
-        for d in range(w.hi - w.lo):
-            a, b = base + int(w.first[d]), base + int(w.first[d + 1])
+        docs = w.hi - w.lo
+        hashes.append(np.insert(w.hashes, w.first[1:], np.uint64(0)))
+        gap.append(np.insert(np.zeros(len(w.start), bool), w.first[1:], True))
+        for d in range(docs):
+            a, b = base + int(w.first[d]) + d, base + int(w.first[d + 1]) + d
             size = min(window, b - a)
             if size:
                 starts = np.arange(a, b - size + 1)
@@ -57,9 +62,9 @@ def prepare(ids: list, texts: list, window: int) -> Items:
                 width.append(np.full(len(starts), size))
                 item.append(np.full(len(starts), ids[w.lo + d] if ids[w.lo + d] is not None else 0))
                 known.append(np.full(len(starts), ids[w.lo + d] is not None))
-        base += len(w.start)
+        base += len(w.start) + docs
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return Items(cat(hashes, np.uint64), cat(at, np.int64), cat(end, np.int64), cat(width, np.int64), cat(item, np.int64), cat(known, bool))
+    return Items(cat(hashes, np.uint64), cat(gap, bool), cat(at, np.int64), cat(end, np.int64), cat(width, np.int64), cat(item, np.int64), cat(known, bool))
 
 
 def suffix_array(code: np.ndarray, depth: int) -> np.ndarray:
@@ -134,61 +139,109 @@ def search(code: np.ndarray, sa: np.ndarray, query: np.ndarray, at: np.ndarray,
     return out[0], out[1]
 
 
-def scan(w: Words, items: Items) -> Iterator[tuple[list[int], list[int], int, int]]:
-    """For each document of a shard: hit word runs (start, end, ...), items, longest match and its place."""
+def longest_common(code: np.ndarray, sa: np.ndarray, places: np.ndarray, query: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """For each place of the suffix array the most words that its suffix has in common with a query's.
+
+    Queries are sorted like the suffixes; the longest match is with one of the two neighbours.
+    """
+    rank = np.empty(len(query), np.int64)
+    rank[suffix_array(query, int(width.max()))] = np.arange(len(query))
+    order = np.argsort(rank[at], kind="stable")
+    at, width = at[order], width[order]
+    before = np.maximum.accumulate(search(code, sa, query, at, width)[0])
+    after = np.searchsorted(before, places, "right")
+    out = np.zeros(len(places), np.int64)
+    for k in (after - 1, after):
+        some = np.flatnonzero((k >= 0) & (k < len(at)))
+        _, n = _order(code, sa, places[some], query, at[k[some]], width[k[some]])
+        out[some] = np.maximum(out[some], n)
+    return out
+
+
+def scan(w: Words, items: Items) -> tuple[list[list[int]], list[list[int]], list[int], list[int]]:
+    """Of each document of a shard: hit word runs [start, end, ...], items, longest match and its place.
+
+    Equal windows have one range of the suffix array, and ranges of one width are disjoint, so the
+    occurrences that are looked at are at most the words of the shard for each width.
+    """
     docs = w.hi - w.lo
     hits: list[list[int]] = [[] for _ in range(docs)]
     found: list[list[int]] = [[] for _ in range(docs)]
     longest, place = np.zeros(docs, np.int64), np.full(docs, -1, np.int64)
-    if len(w.start) and len(items.at):
-        vocabulary, number = np.unique(w.hashes, return_inverse=True)
-        slot = np.searchsorted(vocabulary, items.word)
-        there = slot < len(vocabulary)
-        there[there] = vocabulary[slot[there]] == items.word[there]
-        query = np.where(there, slot + 1, len(vocabulary) + 5)
-        absent = np.concatenate([[0], np.cumsum(~there)])
-        ask = np.flatnonzero(absent[items.at + items.width] == absent[items.at])
-        if len(ask):
-            doc = w.doc
-            code = np.zeros(len(number) + docs, np.int64)
-            code[np.arange(len(number)) + doc] = number.ravel() + 1
-            deepest = int((items.end - items.at)[ask].max())
-            sa = suffix_array(code, deepest)
-            lo, hi = search(code, sa, query, items.at[ask], items.width[ask])
-            n = hi - lo
-            q = np.repeat(ask, n)
-            at = sa[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
-            if len(at):
-                index = np.full(len(code), -1, np.int64)
-                index[np.arange(len(number)) + doc] = np.arange(len(number))
-                word = index[at]
-                d = doc[word]
-                _, length = _order(code, at, np.arange(len(at)), query, items.at[q], items.end[q] - items.at[q])
-                begin = word - w.first[d]
-                order = np.lexsort((begin, d))
-                for i in order.tolist():
-                    run, a, b = hits[d[i]], int(begin[i]), int(begin[i] + items.width[q[i]])
-                    if run and a <= run[-1]:
-                        run[-1] = max(run[-1], b)
-                    else:
-                        run += [a, b]
-                who = np.unique(np.stack([d, items.item[q]], 1)[items.known[q]], axis=0)
-                for x, y in who.tolist():
-                    found[x].append(y)
-                best = np.lexsort((begin, -length, d))
-                head = np.unique(d[best], return_index=True)
-                longest[head[0]] = length[best][head[1]]
-                place[head[0]] = begin[best][head[1]]
-    yield from zip(hits, found, longest.tolist(), place.tolist(), strict=True)
+    none = hits, found, longest.tolist(), place.tolist()
+    if not len(w.start) or not len(items.at):
+        return none
+    vocabulary, number = np.unique(w.hashes, return_inverse=True)
+    slot = np.minimum(np.searchsorted(vocabulary, items.word), len(vocabulary) - 1)
+    there = (vocabulary[slot] == items.word) & ~items.gap
+    query = np.where(items.gap, 0, np.where(there, slot + 1, len(vocabulary) + 1))
+    absent = np.concatenate([[0], np.cumsum(~there)])
+    ask = np.flatnonzero(absent[items.at + items.width] == absent[items.at])
+    if not len(ask):
+        return none
+    doc = w.doc
+    code = np.zeros(len(number) + docs, np.int64)
+    code[np.arange(len(number)) + doc] = number.ravel() + 1
+    sa = suffix_array(code, int((items.end - items.at)[ask].max()))
+    lo, hi = search(code, sa, query, items.at[ask], items.width[ask])
+    met = hi > lo
+    ask, lo, hi = ask[met], lo[met], hi[met]
+    if not len(ask):
+        return none
+    widest = int(items.width.max()) + 1
+    _, first, window = np.unique(lo * widest + items.width[ask], return_index=True, return_inverse=True)
+    window = window.ravel()
+    n = (hi - lo)[first]
+    each = np.repeat(np.arange(len(first)), n)
+    spot = np.repeat(lo[first] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    index = np.full(len(code), -1, np.int64)
+    index[np.arange(len(number)) + doc] = np.arange(len(number))
+    word = index[sa[spot]]
+
+    cover = np.zeros(len(number) + 1, np.int64)
+    np.add.at(cover, word, 1)
+    np.add.at(cover, word + items.width[ask][first][each], -1)
+    begin, end = runs(np.cumsum(cover[:-1]) > 0, w.first)
+    for d, a, b in zip(doc[begin].tolist(), (begin - w.first[doc[begin]]).tolist(), (end - w.first[doc[begin]]).tolist(), strict=True):
+        hits[d] += [a, b]
+
+    # windows with the same items are one set, so a passage of many windows is listed once
+    sets: dict[tuple[int, ...], int] = {}
+    known = items.known[ask]
+    pairs = np.unique(np.stack([window[known], items.item[ask][known]], 1), axis=0)
+    bounds = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)).tolist()
+    named = [sets.setdefault(tuple(pairs[a:b, 1].tolist()), len(sets)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    members = list(sets)
+    got: list[set[int]] = [set() for _ in range(docs)]
+    for d, k in np.unique(np.stack([doc[word], np.array(named)[each]], 1), axis=0).tolist():
+        got[d].update(members[k])
+    found = [sorted(x) for x in got]
+
+    places = np.unique(spot)
+    length = longest_common(code, sa, places, query, items.at[ask], (items.end - items.at)[ask])
+    word = index[sa[places]]
+    best = np.lexsort((word, -length, doc[word]))
+    who, head = np.unique(doc[word][best], return_index=True)
+    longest[who] = length[best][head]
+    place[who] = (word - w.first[doc[word]])[best][head]
+    return hits, found, longest.tolist(), place.tolist()
 
 
 def _scan(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
+    """The rows (doc_id, text, and what earlier blocks of the benchmark found) with this block's finds."""
     for b in batches:
         for w in words(b.column(1), ALNUM, LOWER, SHARD):
-            hits, found, longest, place = zip(*scan(w, items.value), strict=True)
+            rows = b.slice(w.lo, w.hi - w.lo)
+            hits, found, longest, place = scan(w, items.value)
+            if b.num_columns > 2:
+                old = [rows.column(i).to_pylist() for i in range(3, 7)]
+                hits = [merge_runs([x, y]) for x, y in zip(hits, old[0], strict=True)]
+                found = [sorted({*x, *y}) for x, y in zip(found, old[1], strict=True)]
+                better = [(n, -p) >= (m, -q) for n, p, m, q in zip(longest, place, old[2], old[3], strict=True)]
+                longest, place = ([x if ok else y for ok, x, y in zip(better, new, was, strict=True)] for new, was in ((longest, old[2]), (place, old[3])))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(w.lo, w.hi - w.lo), pa.array(w.counts), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64())), pa.array(longest, pa.int32()), pa.array(place, pa.int32())],
-                ["doc_id", "n_words", "hits", "items", "longest", "longest_at"],
+                [rows.column(0), rows.column(1), pa.array(w.counts), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64())), pa.array(longest, pa.int32()), pa.array(place, pa.int32())],
+                ["doc_id", "text", "n_words", "hits", "items", "longest", "longest_at"],
             )
 
 
@@ -203,9 +256,9 @@ def merge_runs(lists: list) -> list[int]:
 
 
 def blocks_of(benchmark: DataFrame, window: int, item_col: str, item_text: str) -> Iterator:
-    """The benchmark as broadcast blocks of at most about `BLOCK` bytes of text, at least one."""
+    """The benchmark as broadcast blocks of about `BLOCK` bytes of text or one item, at least one block."""
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    blocks = int(bench.agg(F.ceil(F.coalesce(F.sum(F.length("text")), F.lit(0)) / BLOCK)).first()[0]) or 1
+    blocks = int(bench.agg(F.ceil(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / BLOCK)).first()[0]) or 1
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
         yield benchmark.sparkSession.sparkContext.broadcast(prepare([r[0] for r in rows], [r[1] for r in rows], window))
@@ -214,24 +267,14 @@ def blocks_of(benchmark: DataFrame, window: int, item_col: str, item_text: str)
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_words, hits (merged [start, end) word runs), items, longest, longest_at.
 
-    The benchmark is broadcast in blocks of at most about `BLOCK` bytes of text, whose number follows
-    its measured size; the documents are never shuffled for one block. With more blocks, rows of the
-    same doc_id and number of words are reported once.
+    The benchmark is broadcast in blocks of about `BLOCK` bytes of text, whose number follows its
+    measured size. The rows pass the blocks one after the other, each adding its finds to the row; they
+    are never shuffled, and between blocks they are written to the checkpoint folder.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for blocks, items in enumerate(blocks_of(benchmark, window, item_col, item_text), 1):
-        part = docs.mapInArrow(partial(_scan, items=items), SCHEMA)
-        out = part if out is None else out.unionAll(part)
-    if blocks == 1:
-        return out
-    merge = F.udf(merge_runs, "array<int>")
-    best = F.max(F.struct("longest", (-F.col("longest_at")).alias("before")))
-    return (
-        out.groupBy("doc_id", "n_words")
-        .agg(F.collect_list("hits").alias("lists"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("best"))
-        .select("doc_id", "n_words", merge("lists").alias("hits"), "items", F.col("best.longest").alias("longest"), (-F.col("best.before")).alias("longest_at"))
-    )
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    for k, items in enumerate(blocks_of(benchmark, window, item_col, item_text)):
+        out = (out if not k else _graph.cut(out)).mapInArrow(partial(_scan, items=items), SCHEMA)
+    return out.drop("text")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -247,7 +290,7 @@ def report(found: DataFrame) -> DataFrame:
 def _clean(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for w in words(b.column("text"), ALNUM, LOWER, SHARD):
-            good = [not hits for hits, *_ in scan(w, items.value)]
+            good = [not hits for hits in scan(w, items.value)[0]]
             yield b.slice(w.lo, w.hi - w.lo).filter(pa.array(good, pa.bool_()))
 
 
