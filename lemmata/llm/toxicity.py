@@ -8,14 +8,16 @@ token probabilities; their sum and maximum give a calibrated document score, and
 tokens the offending offsets (code points).
 
 The model is fitted on at most `SAMPLE` labelled rows of at most `SAMPLE_CHARS` characters, chosen by
-a hash of doc_id; scoring reads every whole text. The marks and the document score are fitted on all
+a hash of doc_id, and of these on the first by that hash that hold `SAMPLE_TOTAL` characters together; scoring reads every whole text. The marks and the document score are fitted on all
 of these rows; the chain on segments of `TRAIN_WORDS` words: at most `TRAIN_SEGMENTS` with a toxic
 token, and at most as many of every `PLAIN`th without one, both the least by a hash of row and place,
-so that every row of the sample has its chance. Chains longer than `SEGMENT` words are cut into
-segments of that many.
+so that every row of the sample has its chance. In scoring, chains longer than `SEGMENT` words are laid out
+in segments of that many, with the messages carried over their bounds: marginals are those of the whole
+chain.
 
 Defined cases: a null or empty text scores as one without toxic tokens; a null label is no label;
-several labels of one doc_id count once, as toxic if any is; repeated rows score alike; a null doc_id
+several labels of one doc_id count once, as toxic if any is, and of its texts the one of least hash is
+learnt from; repeated rows score alike; a null doc_id
 is scored and never trained on; without labels every score is 0; further columns are kept by
 `drop_toxic` and ignored by `score`.
 """
@@ -31,9 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmata.llm import _graph
 from lemmata.llm._bytes import ALNUM, LOWER, U, Words, mix, words
 
 SAMPLE, SAMPLE_CHARS, SEGMENT = 8_000, 100_000, 256
+#: characters of the whole sample, which the driver holds
+SAMPLE_TOTAL = 64_000_000
 SLOTS = 1 << 20
 #: (from the word's start?, bytes): the word itself, prefixes and a suffix
 AFFIXES = ((True, 4), (True, 5), (True, 6), (True, 7), (False, 5))
@@ -61,34 +66,78 @@ def features(w: Words) -> np.ndarray:
     return np.stack([(x >> U(44)).astype(np.int32) for x in made], 1)
 
 
-def chain(u: np.ndarray, lengths: np.ndarray, model_moves: np.ndarray) -> np.ndarray:
-    """Marginals of state 1 for padded rows of emission scores, longest row first."""
+def _norm(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    v = np.stack([zero, one], -1)
+    return v / v.sum(-1, keepdims=True)
+
+
+def chain(u: np.ndarray, lengths: np.ndarray, moves: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None, pairs: bool = False):
+    """Marginals of state 1 for padded rows of emission scores, longest row first.
+
+    enter: of each row the forward message after the move into its first word, leave: the backward
+    message at its last word (without them rows are whole chains). With `pairs` also the sum of the
+    marginals of neighbouring states, from state (row) to state.
+    """
     rows, width = u.shape
-    m = np.exp(model_moves)
+    m = np.exp(moves)
     up = np.exp(np.clip(u, -30, 30))
     live = np.searchsorted(-lengths, -np.arange(width), "left")  # rows longer than t
-    a1, out = np.zeros((width, rows)), np.zeros((width, rows))
-    p1 = np.full(rows, 0.5)
+    ahead, out = np.zeros((width, rows, 2)), np.zeros((width, rows))
+    q = np.full((rows, 2), 0.5) if enter is None else enter.copy()
     for t in range(width):
-        k = live[t]
-        if not k:
+        if not (k := live[t]):
             break
-        q1 = p1[:k]
-        one = ((1 - q1) * m[0, 1] + q1 * m[1, 1]) * up[:k, t] if t else up[:k, 0].copy()
-        zero = (1 - q1) * m[0, 0] + q1 * m[1, 0] if t else np.ones(k)
-        p1[:k] = one / (one + zero)
-        a1[t, :k] = p1[:k]
-    b1 = np.full(rows, 0.5)
+        v = q[:k] @ m if t else q[:k]
+        ahead[t, :k] = q[:k] = _norm(v[:, 0], v[:, 1] * up[:k, t])
+    b = np.full((rows, 2), 0.5) if leave is None else leave.copy()
+    both = np.zeros((2, 2))
     for t in range(width - 1, -1, -1):
-        k = live[t]
-        if not k:
+        if not (k := live[t]):
             continue
-        x, b = a1[t, :k], b1[:k]
-        out[t, :k] = x * b / (x * b + (1 - x) * (1 - b))
-        one, zero = b * up[:k, t], 1 - b
-        to1, to0 = m[1, 1] * one + m[1, 0] * zero, m[0, 1] * one + m[0, 0] * zero
-        b1[:k] = to1 / (to1 + to0)
-    return out.T
+        x = ahead[t, :k] * b[:k]
+        out[t, :k] = x[:, 1] / x.sum(1)
+        psi = np.stack([b[:k, 0], b[:k, 1] * up[:k, t]], 1)
+        if pairs and t:
+            each = ahead[t - 1, :k, :, None] * m * psi[:, None, :]
+            both += (each / each.sum((1, 2), keepdims=True)).sum(0)
+        v = psi @ m.T
+        b[:k] = v / v.sum(1, keepdims=True)
+    return (out.T, both) if pairs else out.T
+
+
+def transfer(u: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """For each padded row the product of its words' matrices (scores after moves), up to a factor; the first word's move left out."""
+    rows, width = u.shape
+    m = np.exp(moves)
+    up = np.exp(np.clip(u, -30, 30))
+    live = np.searchsorted(-lengths, -np.arange(width), "left")
+    p = np.broadcast_to(np.eye(2), (rows, 2, 2)).copy()
+    for t in range(width):
+        if not (k := live[t]):
+            break
+        v = p[:k] @ m if t else p[:k]
+        v = v * np.stack([np.ones(k), up[:k, t]], 1)[:, None, :]
+        p[:k] = v / v.sum((1, 2), keepdims=True)
+    return p
+
+
+def messages(u: np.ndarray, lengths: np.ndarray, moves: np.ndarray, place: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages at the bounds of a chain's segments, so that cut chains give whole chains' marginals.
+
+    place: a segment's number within its chain; follows: the row of the segment before it (-1 for none).
+    """
+    m = np.exp(moves)
+    p = transfer(u, lengths, moves)
+    enter, leave = np.full((len(u), 2), 0.5), np.full((len(u), 2), 0.5)
+    for k in range(1, int(place.max(initial=0)) + 1):
+        rows = np.flatnonzero(place == k)
+        v = (enter[follows[rows]][:, None, :] @ p[follows[rows]])[:, 0] @ m
+        enter[rows] = v / v.sum(1, keepdims=True)
+    for k in range(int(place.max(initial=0)), 0, -1):
+        rows = np.flatnonzero(place == k)
+        v = (p[rows] @ leave[rows][:, :, None])[:, :, 0] @ m.T
+        leave[follows[rows]] = v / v.sum(1, keepdims=True)
+    return enter, leave
 
 
 def segments(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +159,15 @@ def marginals(w: Words, model: Model) -> np.ndarray:
     f = features(w)
     u = model.bias + model.weight[f].sum(1)
     start, length = segments(w.first, SEGMENT)
+    doc = np.searchsorted(w.first, start, "right") - 1
+    place = (start - w.first[doc]) // SEGMENT
+    by_start = np.argsort(start)
+    before = by_start[np.searchsorted(start[by_start], np.maximum(start - SEGMENT, 0))]
     at = start[:, None] + np.arange(int(length.max()))[None, :]
     inside = np.arange(at.shape[1])[None, :] < length[:, None]
-    p = chain(np.where(inside, u[np.minimum(at, total - 1)], 0), length, model.moves)
+    scores = np.where(inside, u[np.minimum(at, total - 1)], 0)
+    enter, leave = messages(scores, length, model.moves, place, np.where(place > 0, before, -1)) if place.any() else (None, None)
+    p = chain(scores, length, model.moves, enter, leave)
     out = np.zeros(total)
     out[at[inside]] = p[inside]
     return out
@@ -150,15 +205,10 @@ def _fit_chain(slots: np.ndarray, y: np.ndarray, length: np.ndarray, dims: int,
     n = inside.sum()
     for r in range(1, rounds + 1):
         u = bias + theta[slots].sum(2)
-        p = chain(np.where(inside, u, 0), length, moves)
+        p, both = chain(np.where(inside, u, 0), length, moves, pairs=True)
         gap = np.where(inside, p - y, 0)
         g = np.bincount(slots.ravel(), np.repeat(gap.ravel(), slots.shape[2]), dims + 1)
-        # pair marginals, with neighbours taken as independent given their own marginals and the move
-        m, q = np.exp(moves), np.clip(p, 1e-9, 1 - 1e-9)
-        w4 = np.stack([(1 - q[:, :-1]) * (1 - q[:, 1:]) * m[0, 0], (1 - q[:, :-1]) * q[:, 1:] * m[0, 1], q[:, :-1] * (1 - q[:, 1:]) * m[1, 0], q[:, :-1] * q[:, 1:] * m[1, 1]])
-        w4 = w4 / w4.sum(0) * pairs
-        gm = w4.sum((1, 2)).reshape(2, 2) - seen
-        grads = [g + 0.02 * theta, gm * 0.1 + 1.0 * moves, np.array([gap.sum()]) + 0.02 * bias]
+        grads = [g + 0.02 * theta, both - seen + 1.0 * moves, np.array([gap.sum()]) + 0.02 * bias]
         grads[0][dims] = 0
         for x, (v, s), d in zip((theta, moves, None), state, grads, strict=True):
             v += 0.1 * (d - v)
@@ -273,7 +323,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.length("text") <= SAMPLE_CHARS).select("_id", "text", "toxic")
-    got = rows.dropDuplicates(["_id"]).toArrow().sort_by("_id")
+    one = rows.groupBy("_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), F.col("text").alias("t")))["t"].alias("text"))
+    one = _graph.cut(one)
+    kept, total = [], 0
+    for r in one.select("_id", F.xxhash64("_id").alias("h"), F.length("text").alias("n")).orderBy("h", "_id").collect():
+        total += r["n"]
+        if total > SAMPLE_TOTAL:
+            break
+        kept.append((r["_id"],))
+    ids = F.broadcast(docs.sparkSession.createDataFrame(kept, "_id long"))
+    got = one.join(ids, "_id").toArrow().sort_by("_id")
     return fit(got.column("text"), (got.column("toxic").to_numpy() > 0).astype(int))
 
 
