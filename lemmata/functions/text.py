@@ -50,14 +50,117 @@ def normalize(x) -> Column:
     return F.trim(F.regexp_replace(F.trim(flat), r";+$", ""))
 
 
+def strip(x) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+
+
+def flat_line(x) -> Column:
+    return F.replace(strip(x), F.lit("\n"), F.lit(""))
+
+
+#: fixed values: what `property_body` takes away, in this order
+WRAPPERS = (r"^\w+\s*:\s*(assert)", r"^assert\s+property\s*\(", r"^assert\s*\(", r"@\s*\(\s*(?:posedge|negedge)\s+\w+\s*\)", r"disable\s+iff\s*\([^)]*\)")
+
+
 def property_body(x) -> Column:
     """The property itself: newlines, label, wrapper, clock and disable clause removed, cut at `);`."""
-    y = F.replace(_c(x), F.lit("\n"), F.lit(""))
-    y = F.regexp_replace(y, r"^\s*\w+\s*:\s*", "")
-    y = F.regexp_replace(y, r"assert\s+property\s*\(", "")
-    y = F.regexp_replace(y, r"@\(\s*posedge\s+\w+\s*\)", "")
-    y = F.regexp_replace(y, r"disable\s+iff\s*\([^()]*\)", "")
-    return F.trim(F.get(F.split(y, r"\)\s*;"), F.lit(0)))
+    y = F.regexp_replace(flat_line(x), WRAPPERS[0], "$1")
+    for pattern in WRAPPERS[1:]:
+        y = F.regexp_replace(y, pattern, "")
+    return strip(F.get(F.split(y, r"\)\s*;"), F.lit(0)))
+
+
+def guarded_body(x, reset: str = "tb_reset") -> Column:
+    """The property of a wrapped assertion, cut after its last reset clause and at `);`; other text as it is."""
+    y = flat_line(x)
+    wrapped = y.rlike(r"^(\w+\s*:\s*)?assert\s*(property\s*)?\(")
+    after = strip(F.substring_index(y, f"{reset})", -1))
+    return F.when(wrapped, strip(F.get(F.split(after, r"\)\s*;"), F.lit(0)))).otherwise(y)
+
+
+def assertion_of(x, missing: str | None = None) -> Column:
+    """The first whole assertion on one line, or what stands for none; quotes and tabs escaped if that is given."""
+    y = nullif_empty(F.replace(F.regexp_extract(_c(x), r"(?s)assert\s+property\s*\(.*?\)\s*;", 0), F.lit("\n"), F.lit(" ")))
+    if missing is None:
+        return y
+    return F.replace(F.replace(F.coalesce(y, F.lit(missing)), F.lit('"'), F.lit('\\"')), F.lit("\t"), F.lit("\\t"))
+
+
+def after_label(x, label: str = "OL NL:") -> Column:
+    """The first line after a label; null without one."""
+    rest = F.substr(_c(x), F.instr(_c(x), label) + len(label))
+    return F.when(F.contains(_c(x), F.lit(label)), strip(F.get(F.split(strip(rest), "\n"), F.lit(0))))
+
+
+def user_content(x, intro: str, outro: str) -> Column:
+    """Struct (testbench, question) of a user turn: the question goes from its label to the closing instructions."""
+    y = _c(x)
+    at = F.instr(y, "Question:")
+    rest = strip(F.substr(y, at))
+    return F.struct(
+        strip(F.replace(F.left(y, at - 1), F.lit(intro), F.lit(""))).alias("testbench"), strip(F.substring_index(rest, outro, 1)).alias("question")
+    )
+
+
+def leading_names(labels) -> Column:
+    """Leading identifiers of signal labels, in order, once each; literals have none."""
+    return F.array_distinct(F.filter(F.transform(_c(labels), lambda v: F.regexp_extract(v, r"^[A-Za-z_]\w*", 0)), lambda v: v != ""))
+
+
+def quoted_and_parameters(prompt, bench) -> Column:
+    """Names in single quotes of a prompt, then the parameters of a test bench."""
+    quoted = F.regexp_extract_all(_c(prompt), F.lit(r"'([^'\s]+)'"), F.lit(1))
+    named = F.regexp_extract_all(_c(bench), F.lit(r"\b(?:localparam|parameter)\s+(?:(?:int|real|bit)\s+|\[[^\]]+\]\s*)?(\w+)"), F.lit(1))
+    return F.concat(quoted, named)
+
+
+def with_parameters(names, bench) -> Column:
+    """Signal names with the test bench's parameters that are not among them."""
+    named = F.regexp_extract_all(_c(bench), F.lit(r"\b(?:localparam|parameter)\s+(?:(?:int|real|bit)\s+|\[[^\]]+\]\s*)?(\w+)"), F.lit(1))
+    return F.array_union(_c(names), named)
+
+
+def plain_operand(x) -> Column:
+    """An operand's explanation without its stock opening and its last period."""
+    y = F.regexp_replace(strip(x), r'(?i)^(the\s+expression\s+)?"[^"]*"\s+(means(\s+that)?|is\s+true\s+(if|when)|evaluates?\s+to\s+true\s+(if\s+and\s+only\s+if|if|when))\s+', "")
+    return F.regexp_replace(y, r"\.$", "")
+
+
+def json_part(x) -> Column:
+    """From the first opening to the last closing brace; null without both."""
+    return nullif_empty(F.regexp_extract(_c(x), r"(?s)\{.*\}", 0))
+
+
+def scenario(conditions) -> Column:
+    """Conditions of consecutive cycles as one sequence."""
+    return F.array_join(F.transform(_c(conditions), lambda v: F.concat(F.lit("("), v, F.lit(")"))), " ##1 ")
+
+
+def declarations(names, clock: str = "clk") -> Column:
+    """A declaration for each name, once, the clock among them."""
+    return F.array_join(F.transform(F.array_distinct(F.array_append(_c(names), F.lit(clock))), lambda v: F.concat(F.lit("logic "), v, F.lit(";"))), "\n")
+
+
+def fenced_blocks(x) -> Column:
+    """What each fence of any language holds, without white space at the ends; empty ones left out."""
+    held = F.regexp_extract_all(_c(x), F.lit(r"(?s)```[A-Za-z]*\n(.*?)```"), F.lit(1))
+    return F.filter(F.transform(held, lambda v: strip(v)), lambda v: v != "")
+
+
+def book_and_page(path) -> Column:
+    """Struct (book, page) of paths `.../book/page_12.ext`."""
+    y = F.regexp_extract(_c(path), r"([^/]+)/[^/]*?(\d+)\.\w+$", 1)
+    return F.struct(nullif_empty(y).alias("book"), F.regexp_extract(_c(path), r"([^/]+)/[^/]*?(\d+)\.\w+$", 2).try_cast("int").alias("page"))
+
+
+def bytes_text(x) -> Column:
+    """A size with its unit, one decimal."""
+    y = _c(x).cast("double")
+    out = F.format_string("%.1f GB", y / 1e9)
+    for unit, size in (("MB", 1e6), ("KB", 1e3), ("B", 1.0)):
+        out = F.when(y < size * 1000, F.format_string(f"%.1f {unit}", y / size)).otherwise(out)
+    return out
 
 
 def numbered_items(x) -> Column:
@@ -125,14 +228,14 @@ def failure_reason(completion, truncated) -> Column:
     return F.when(_c(truncated), "truncated").when(~F.contains(_c(completion), F.lit(FENCE)), "no_fence").otherwise("other")
 
 
-def think_turn(x) -> Column:
-    """Struct (ok, reason, text): reasoning wrapped in think tags before the last fence."""
-    text = _c(x)
-    n = literal_count(text, FENCE)
-    opened = F.substring_index(text, FENCE, -2)
-    reasoning = F.trim(F.substr(text, F.lit(1), F.length(text) - F.length(opened) - 3))
-    bad = F.when(n == 0, "no_fence").when(n % 2 == 1, "unclosed").when(reasoning == "", "empty_reasoning")
-    made = F.concat(F.lit("<think>\n"), reasoning, F.lit("\n</think>\n"), F.lit(FENCE), opened)
+def think_turn(x, lang: str = "systemverilog") -> Column:
+    """Struct (ok, reason, text): what stands before the last fence of the language, wrapped in think tags, then the fence."""
+    text, mark = _c(x), FENCE + lang
+    tail = F.substring_index(text, mark, -1)
+    reasoning = strip(F.left(text, F.length(text) - F.length(tail) - len(mark)))
+    code = strip(F.concat(F.lit(mark), tail))
+    bad = F.when(~F.contains(text, F.lit(mark)), "no_fence").when(reasoning == "", "empty_reasoning").when(~F.endswith(code, F.lit(FENCE)), "unclosed")
+    made = F.concat(F.lit("<think>\n"), reasoning, F.lit("\n</think>\n\n"), code)
     return F.struct(bad.isNull().alias("ok"), bad.alias("reason"), F.when(bad.isNull(), made).alias("text"))
 
 
@@ -205,3 +308,74 @@ def report_row(x) -> Column:
     part = lambda k: F.regexp_extract(y, REPORT_ROW, k)
     row = F.struct(part(2).alias("module"), part(3).cast("int").alias("number"), part(4).alias("result"), part(5).alias("engine"), part(6).alias("bound"), part(7).cast("double").alias("seconds"))
     return F.when(y.rlike(REPORT_ROW), row)
+
+
+# ---------------------------------------------------------------- logs and verdicts
+
+
+def statuses(log, tag: str = "STATUS") -> Column:
+    """Map of name to status from a log's lines `TAG name status`; the last of a name counts."""
+    rows = F.filter(F.transform(F.split(_c(log), "\n"), lambda v: strip(v)), lambda v: v.rlike(rf"^{tag} \S+ \S+$"))
+    parts = F.transform(rows, lambda v: F.split(v, " "))
+    names = F.transform(parts, lambda v: v[1])
+    last = F.filter(parts, lambda v, i: F.array_position(F.slice(names, i + 2, F.greatest(F.lit(1), F.size(names))), v[1]) == 0)
+    return F.map_from_entries(F.transform(last, lambda v: F.struct(v[1], v[2])))
+
+
+def verdict(found, both: str = "iff", onward: str = "fwd", back: str = "bwd", good: str = "proven") -> Column:
+    """Struct (syntax, functionality, func_relaxed) of a status map; all 0 unless every name is there."""
+    m = _c(found)
+    whole = F.size(F.array_except(F.array(*[F.lit(x) for x in (both, onward, back)]), F.map_keys(m))) == 0
+    holds = lambda name: F.coalesce(F.element_at(m, F.lit(name)) == good, F.lit(False))
+    strict, loose = whole & holds(both), whole & (holds(both) | holds(onward) | holds(back))
+    return F.struct(whole.cast("int").alias("syntax"), strict.cast("int").alias("functionality"), loose.cast("int").alias("func_relaxed"))
+
+
+def error_summary(log, most: int = 8, else_chars: int = 500) -> Column:
+    """The first error lines of a log, else its end."""
+    lines = F.filter(F.split(_c(log), "\n"), lambda v: v.rlike(r"^\[?ERROR\b"))
+    return F.when(F.size(lines) > 0, F.array_join(F.slice(lines, 1, most), "\n")).otherwise(F.right(_c(log), F.lit(else_chars)))
+
+
+def equivalent(log) -> Column:
+    """Whether a log reports full equivalence and no syntax error."""
+    return ~F.contains(_c(log), F.lit("syntax error")) & F.contains(_c(log), F.lit("Full equivalence"))
+
+
+def truncated(completion, n_tokens, cap: int, close: str = "</think>") -> Column:
+    """Whether a completion ran into its cap: as many tokens, and its reasoning never closed."""
+    return (_c(n_tokens) >= cap) & ~F.contains(_c(completion), F.lit(close))
+
+
+#: fixed values: operators of plain expressions; every other one counts as temporal
+PLAIN_OPERATORS = (
+    "==", "!=", "===", "!==", "==?", "!=?", "<", ">", "<=", ">=", "&&", "||", "!", "+", "-", "*", "/", "%", "**",
+    "&", "|", "^", "~", "^~", "~^", "~&", "~|", "<<", ">>", "<<<", ">>>", "=", "+=", "-=",
+)
+
+
+def operator_class(label) -> Column:
+    return F.when(_c(label).isin(*PLAIN_OPERATORS), "non_temporal").otherwise("temporal")
+
+
+def question(problem, signals, bench) -> Column:
+    """A question with the parts that its row asks for: signals unless it names them, the reset where the bench has one."""
+    listed = F.array_join(F.transform(_c(signals), lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", ")
+    named = F.contains(_c(problem), F.lit("Use the signals")) | (F.size(_c(signals)) == 0)
+    reset = F.when(F.contains(_c(bench), F.lit("tb_reset")), F.lit("The reset is tb_reset.\n")).otherwise("")
+    return F.concat(F.lit("Question: "), strip(problem), F.when(named, "").otherwise(F.concat(F.lit(" Use the signals "), listed, F.lit("."))), F.lit("\n"), reset)
+
+
+#: patterns of the simple detectors: no veto by prose
+SIMPLE_CODE = (r"\bmodule\b", r"\bassert\b", r"\bposedge\b", r"\bassign\b", r"##\d")
+SIMPLE_QUERY = (r"\?\s*$", r"(?i)^(what|how|why)\b", r"(?i)\bexplain\b")
+
+
+def any_pattern(x, patterns) -> Column:
+    return pattern_hits(x, patterns) > 0
+
+
+def chat_json(user, assistant, system: str | None = None) -> Column:
+    """A chat record as one JSON line."""
+    turns = [F.struct(F.lit(role).alias("role"), _c(text).alias("content")) for role, text in (("system", F.lit(system)), ("user", user), ("assistant", assistant)) if role != "system" or system is not None]
+    return F.to_json(F.struct(F.array(*turns).alias("messages")))

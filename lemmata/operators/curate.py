@@ -35,14 +35,21 @@ def backfill(failed: DataFrame, pool: DataFrame, used: DataFrame, key: str) -> D
     return left.join(right, "n", "left").select("slot", "resolved")
 
 
-def numbered(rows: DataFrame, key: str, width: int = 100_000) -> DataFrame:
-    """Row number `n` (from 1) in the order of a non-negative integer key, without one global window."""
-    bucket = F.floor(F.col(key) / width).cast("long")
-    cut = rows.withColumn("_b", bucket)
-    sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = cut.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    return inside.join(before, "_b").withColumn("n", (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before")
+def numbered(rows: DataFrame, key: str, part: tuple[str, ...] = (), then: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """Row number `n` (from 1) in the order of a numeric key (and `then`), within `part` if given, nulls first.
+
+    Rows are dealt into ranges of the key by its quantiles; a window covers one range, and ranges are
+    put together by their counts, at most `buckets` for each part.
+    """
+    bounds = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    marks = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
+    cut = rows.withColumn("_b", F.size(F.filter(marks, lambda b: b <= F.col(key))))
+    cut = cut.withColumn("_b", F.when(F.col(key).isNull(), -1).otherwise(F.col("_b")))
+    sizes = cut.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    inside = cut.withColumn("_i", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(key, *then)))
+    return inside.join(F.broadcast(before) if not part else before, [*part, "_b"]).withColumn("n", (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before")
 
 
 def rates(rows: DataFrame, flags: list[str], by: list[str] | None = None) -> DataFrame:
@@ -76,3 +83,34 @@ def census(found: DataFrame, op: str, doc: str, pos: str, example: str) -> DataF
     """Occurrences of each operator, documents that hold it, and its shortest example (the earliest of equals)."""
     best = F.min(F.struct(F.length(example).alias("len"), F.col(doc), F.col(pos), F.col(example)))
     return found.groupBy(op).agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct(doc).alias("containing"), best.getField(example).alias("example"))
+
+
+def arity(rows: DataFrame, column: str) -> DataFrame:
+    """Histogram of an array column's sizes with every count from 0 to the largest, with their mean."""
+    counted = rows.groupBy(F.size(column).alias("arity")).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.max("arity").alias("most"), (F.sum(F.col("arity") * F.col("n")) / F.sum("n")).alias("mean"))
+    spine = total.select(F.explode(F.sequence(F.lit(0), "most")).alias("arity"), "mean")
+    return spine.join(counted, "arity", "left").select(F.col("arity").cast("long").alias("arity"), F.coalesce("n", F.lit(0)).alias("n"), "mean")
+
+
+def throughput(rows: DataFrame, tokens: str, seconds: str) -> DataFrame:
+    """Records, tokens, seconds a record and tokens a second; null where nothing was timed."""
+    n, t, s = F.count(F.lit(1)), F.sum(tokens), F.sum(seconds)
+    return rows.agg(n.alias("records"), t.alias("tokens"), (s / F.nullif(n, F.lit(0))).alias("seconds_a_record"), (t / F.nullif(s, F.lit(0))).alias("tokens_a_second"))
+
+
+def upsert(registry: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """A registry with the entries of `more`, which replace those of the same key."""
+    return registry.join(more.select(key).distinct(), key, "left_anti").unionByName(more)
+
+
+def added_lines(longer, shorter) -> Column:
+    """Lines of a module beyond as many as the shorter version has, without the closing one."""
+    a, b = F.split(longer, "\n"), F.split(shorter, "\n")
+    return F.array_join(F.slice(a, F.size(b) + 1, F.greatest(F.lit(0), F.size(a) - F.size(b) - 1)), "\n")
+
+
+def section(rows: DataFrame, part: str, order: str, line: Column, head: Column) -> DataFrame:
+    """Text of a report's sections: the head, then a line for each row in order."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("_line")))), lambda x: x["_line"]), "\n")
+    return rows.groupBy(part).agg(F.concat(head, F.lit("\n"), body).alias("text"))

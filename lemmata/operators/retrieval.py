@@ -60,9 +60,49 @@ def islands(rows: DataFrame, part: list[str], order: str, flag: str) -> DataFram
     return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(w)).drop("_new")
 
 
+#: operators that are matched as literals of the plan; a larger table is joined row by row
+LITERALS = 2_000
+
+
+def _matched(left: DataFrame, right: DataFrame, op: str, hit) -> DataFrame:
+    """Rows of `left` with each operator of `right` that they match; one pass over `left` for a small table."""
+    found = [r[0] for r in right.select(op).where(F.col(op).isNotNull()).distinct().limit(LITERALS + 1).collect()]
+    if len(found) > LITERALS:
+        return left.join(right, hit(F.col(op)))
+    if not found:
+        return left.join(right, F.lit(False))
+    each = F.array_compact(F.array(*[F.when(hit(F.lit(x)), F.lit(x)) for x in sorted(found)]))
+    return left.withColumn(op, F.explode(each)).join(F.broadcast(right), op)
+
+
 def contains_join(left: DataFrame, text: str, right: DataFrame, op: str, exact: bool = False) -> DataFrame:
     """Rows whose text contains an operator; exact: as a whole token."""
     if exact:
         token = left.withColumn("_tok", F.explode(F.array_distinct(F.split(text, r"\s+"))))
         return token.join(right, F.col("_tok") == F.col(op)).drop("_tok")
-    return left.join(right, F.contains(F.col(text), F.col(op)))
+    return _matched(left, right, op, lambda x: F.contains(F.col(text), x))
+
+
+def regex_join(left: DataFrame, text: str, rules: DataFrame, pattern: str) -> DataFrame:
+    """Rows whose text matches a rule's regular expression."""
+    return _matched(left, rules, pattern, lambda x: F.regexp_like(F.col(text), x))
+
+
+def embed(text, dim: int = 16) -> Column:
+    """A deterministic stand-in for an embedding model: hashed word counts of the whole text, of length 1 (zeros without words)."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    slots = F.transform(F.regexp_extract_all(lower, F.lit("([a-z]+)"), F.lit(1)), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim)
+    counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+    unit = lambda v: F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(1e-9)))
+    return F.transform(F.transform(F.array(slots), counts), unit)[0]
+
+
+def load_or_build(spark, path: str, build) -> DataFrame:
+    """A store kept as Parquet: read if it is there, else built and written."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    build().write.mode("error").parquet(path)
+    return spark.read.parquet(path)

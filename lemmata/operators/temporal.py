@@ -206,3 +206,11 @@ def suffix(trace: DataFrame, s: DataFrame, p: str, name: str, shift: int = 0, fo
 def disable_iff(trace: DataFrame, s: DataFrame, reset: str) -> DataFrame:
     """The attempts of `s` during which the reset was never true."""
     return throughout(trace, ~F.coalesce(F.col(reset), F.lit(False)), s)
+
+
+def agreement(trace: DataFrame, p: str, q: str) -> DataFrame:
+    """Of each finite trace whether two properties agree at every tick, the first tick where not, and either implication."""
+    a, b = F.col(p), F.col(q)
+    return trace.groupBy("trace_id").agg(
+        F.every(a == b).alias("agree"), F.min(F.when(a != b, F.col("tick"))).alias("counterexample"), F.every(~a | b).alias("a_implies_b"), F.every(~b | a).alias("b_implies_a")
+    )

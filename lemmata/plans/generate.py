@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lemmata.functions import text as X
+from lemmata.operators import retrieval
 
 
 class Completer(Protocol):
@@ -133,3 +134,69 @@ def generate(queries: DataFrame, key: str, hits: DataFrame, keyword_hits: DataFr
 
     done = recheck(done, "completion", again, variant.recheck)
     return done.withColumn("answer", F.coalesce(X.final_answer("completion"), X.first_fence("completion"), F.col("completion")))
+
+
+def stages(rows: DataFrame, steps: list[tuple[str, str]], completer: Completer) -> DataFrame:
+    """Completions that build on each other: (column, template) in turn, a template's places named after columns."""
+    for column, template in steps:
+        filled = X.render(F.lit(template), **{c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if "{" + c + "}" in template})
+        rows = complete(rows.withColumn("_asked", filled), "_asked", column, completer).drop("_asked")
+    return rows
+
+
+def retrieve(queries: DataFrame, store: DataFrame, key: str, k: int = 3, dim: int = 16) -> DataFrame:
+    """(key, rank, content): the k rows of a store (id, content) that are most like each query (key, text)."""
+    asked = queries.select(F.col(key).alias("qid"), retrieval.embed(F.col("text"), dim).alias("qvec"))
+    held = store.select("id", retrieval.embed(F.col("content"), dim).alias("vec"))
+    found = retrieval.topk(asked, held, k).join(store, "id")
+    return found.select(F.col("qid").alias(key), "rank", "content")
+
+
+def routed(queries: DataFrame, stores: dict[str, DataFrame], key: str, k: int = 3) -> DataFrame:
+    """(key, store, rank, content): each query (key, text, store) asks the store that it is routed to."""
+    out = None
+    for name, store in stores.items():
+        found = retrieve(queries.where(F.col("store") == name), store, key, k).withColumn("store", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def verify_loop(rows: DataFrame, column: str, check: Callable[[Column], Column], correct: Callable[[DataFrame, str], DataFrame], rounds: int = 2) -> DataFrame:
+    """Rows with `ok` and `tries`: what fails the check is corrected (a new value of the column) and checked again, at most `rounds` times."""
+    good = lambda: F.coalesce(check(F.col(column)), F.lit(False))
+    rows = rows.withColumn("ok", good()).withColumn("tries", F.lit(1))
+    names = rows.columns
+    for _ in range(rounds):
+        again = correct(rows.where("not ok"), column).withColumn("ok", good()).withColumn("tries", F.col("tries") + 1)
+        rows = rows.where("ok").unionByName(again.select(names))
+    return rows
+
+
+def walk_down(found: DataFrame, pieces: DataFrame, split: Callable[[Column, Column], Column], levels: int = 64) -> DataFrame:
+    """(key, node_id, piece): the root has its tree's piece (key, piece), a child what `split` makes of its parent's piece and its own code."""
+    front = found.where("parent_id is null").join(pieces, "key").select("key", "node_id", "piece")
+    out = front
+    inner = found.where("parent_id is not null").select("key", "node_id", "parent_id", "code")
+    for _ in range(levels):
+        up = front.select("key", F.col("node_id").alias("parent_id"), F.col("piece").alias("_piece"))
+        front = inner.join(up, ["key", "parent_id"]).select("key", "node_id", split(F.col("_piece"), F.col("code")).alias("piece"))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
+
+
+def fix_until_clean(source: DataFrame, report: Callable[[DataFrame], DataFrame], comment: Callable[[DataFrame, DataFrame], DataFrame], rounds: int = 8) -> DataFrame:
+    """Lines that a report (file, line) names are commented out, until it names none or the rounds are over."""
+    for _ in range(rounds):
+        bad = report(source)
+        if bad.isEmpty():
+            break
+        source = comment(source, bad)
+    return source
+
+
+def assistant_turn(restated, decomposition, merge, sva) -> Column:
+    """The assembled answer: restatement, the two trees, then the assertion in its fence."""
+    parts = ["OL NL: ", restated, "\n\n# Decomposition\n", decomposition, "\n\n# Merge\n", merge, "\n\n```systemverilog\n", sva, "\n```"]
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmata.functions.text import leading_names
+
 #: fixed table: binary operators by binding power, loosest first; right-associative ones are named below
 LEVELS = (
     ("iff",),
@@ -329,8 +331,8 @@ def operator_key(label: str) -> tuple[str, str, str]:
     return label, "", ""
 
 
-def explain(root: Node) -> str:
-    """Bottom-up explanation from the templates; an operator without one is rendered as a call."""
+def meanings(root: Node, complete=None) -> dict[int, str]:
+    """Bottom-up meaning of each node: its template, else what `complete(label, operands)` says, else a call in words."""
     said: dict[int, str] = {}
     for node in reversed([n for n, _, _ in walk(root)]):
         if node.kind == "signal":
@@ -339,10 +341,34 @@ def explain(root: Node) -> str:
         key, m, n = operator_key(node.label)
         kids = [said[c.id] for c in node.children]
         phrase = PHRASES.get((key, len(kids)))
-        said[node.id] = (
-            phrase.format(a=kids[0], b=kids[1] if len(kids) > 1 else "", m=m, n=n) if phrase else f"{node.label} of {', '.join(kids)}"
-        )
-    return said[root.id]
+        if phrase:
+            said[node.id] = phrase.format(a=kids[0], b=kids[1] if len(kids) > 1 else "", m=m, n=n)
+        else:
+            said[node.id] = (complete(node.label, kids) if complete else None) or f"{node.label} of {', '.join(kids)}"
+    return said
+
+
+def explain(root: Node, complete=None) -> str:
+    """Bottom-up explanation of the whole tree."""
+    return meanings(root, complete)[root.id]
+
+
+def numbered(root: Node) -> str:
+    """The nodes as a list in pre-order, operators with their source and the numbers of their operands."""
+    order = {n.id: k for k, (n, _, _) in enumerate(walk(root), 1)}
+    rows = [
+        f"{k}. {n.label}" if n.kind == "signal" else f"{k}. {n.label} <- {', '.join(str(order[c.id]) for c in n.children)}: {code(n)}"
+        for k, (n, _, _) in enumerate(walk(root), 1)
+    ]
+    return "\n".join(rows)
+
+
+def derivation(root: Node, complete=None) -> str:
+    """Each step of the symbolic merge with its source and meaning, then the meaning of the whole."""
+    said = meanings(root, complete)
+    order = [n for n, _, _ in walk(root)][::-1]
+    rows = [f"{name} = {expression} | {code(n)} | {said[n.id]}" for n, (name, expression) in zip(order, merge_steps(root), strict=True)]
+    return "\n".join([*rows, f"Meaning: {said[root.id]}"])
 
 
 def outline(root: Node) -> str:
@@ -366,51 +392,99 @@ def dot(root: Node) -> str:
 
 
 NODE_SCHEMA = "key long, status string, node_id int, parent_id int, child_pos int, preorder int, type string, label string, code string"
-TREE_SCHEMA = "key long, status string, n_nodes int, clock string, disable string, explanation string, outline string, merge string, dot string"
-
-
-def _node_rows(key, text) -> list[dict]:
+TREE_SCHEMA = "key long, status string, n_nodes int, clock string, disable string, explanation string, outline string, merge string, dot string, numbered string, derivation string"
+
+
+NODE = {
+    "node_id": lambda n, p, i, k: n.id,
+    "parent_id": lambda n, p, i, k: p.id if p else None,
+    "child_pos": lambda n, p, i, k: i,
+    "preorder": lambda n, p, i, k: k,
+    "type": lambda n, p, i, k: n.kind,
+    "label": lambda n, p, i, k: n.label,
+    "code": lambda n, p, i, k: code(n),
+}
+TREE = {
+    "n_nodes": lambda root: sum(1 for _ in walk(root)),
+    "explanation": lambda root: explain(root),
+    "outline": lambda root: outline(root),
+    "merge": lambda root: "; ".join(f"{a} = {b}" for a, b in merge_steps(root)),
+    "dot": lambda root: dot(root),
+    "numbered": lambda root: numbered(root),
+    "derivation": lambda root: derivation(root),
+}
+
+
+def _parsed(text: str):
+    """Clock, disable condition and root, or what went wrong."""
     try:
-        root = parse(text or "")
+        clock, disable, _ = split_assertion(text or "")
+        return (clock, disable, parse(text or "")), "ok"
     except (ParseError, RecursionError) as e:
-        return [{"key": key, "status": f"error: {e}"}]
-    return [
-        {"key": key, "status": "ok", "node_id": n.id, "parent_id": p.id if p else None, "child_pos": i, "preorder": k, "type": n.kind, "label": n.label, "code": code(n)}
-        for k, (n, p, i) in enumerate(walk(root), 1)
-    ]
+        return None, f"error: {e}"
+
 
+def _node_rows(text, columns) -> list[dict]:
+    got, status = _parsed(text)
+    if not got:
+        return [{"status": status}]
+    made = {c: NODE[c] for c in columns if c in NODE}
+    return [{"status": status} | {c: f(n, p, i, k) for c, f in made.items()} for k, (n, p, i) in enumerate(walk(got[2]), 1)]
 
-def _mapped(df: DataFrame, make, schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    types = [kinds[x.split()[1]] for x in schema.split(", ")]
+
+def _tree_row(text, columns) -> list[dict]:
+    got, status = _parsed(text)
+    if not got:
+        return [{"status": status}]
+    return [{"status": status, "clock": got[0], "disable": got[1]} | {c: TREE[c](got[2]) for c in columns if c in TREE}]
+
+
+def _mapped(df: DataFrame, key: str, text: str, make, schema: str, columns) -> DataFrame:
+    """Each distinct text is parsed once, for the asked columns only, and joined back to its keys."""
+    kinds = dict(x.split() for x in schema.split(", "))
+    names = ["status", *(columns or [c for c in kinds if c not in ("key", "status")])]
+    types = [{"int": pa.int32(), "string": pa.string()}[kinds[n]] for n in names]
 
     def run(batches):
         for b in batches:
-            rows = [r for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in make(key, text)]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)
+            for a in range(0, b.num_rows, 500):
+                rows = [(t, r) for t in b.column(0).slice(a, 500).to_pylist() for r in make(t, names)]
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), *(pa.array([r.get(n) for _, r in rows], t) for n, t in zip(names, types, strict=True))], ["_text", *names])
 
-    return df.mapInArrow(run, schema)
+    keyed = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    parsed = keyed.select("_text").distinct().mapInArrow(run, ", ".join(["_text string", *(f"{n} {kinds[n]}" for n in names)]))
+    return keyed.join(parsed, "_text").select("key", *names)
 
 
-def nodes(df: DataFrame, key: str, text: str) -> DataFrame:
+def nodes(df: DataFrame, key: str, text: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each node of each assertion's tree; what does not parse gives one row with its status."""
-    return _mapped(df.select(F.col(key).cast("long"), text), _node_rows, NODE_SCHEMA)
+    return _mapped(df, key, text, _node_rows, NODE_SCHEMA, columns)
 
 
-def _tree_row(key, text) -> list[dict]:
-    try:
-        clock, disable, _ = split_assertion(text or "")
-        root = parse(text or "")
-    except (ParseError, RecursionError) as e:
-        return [{"key": key, "status": f"error: {e}"}]
-    merged = "; ".join(f"{a} = {b}" for a, b in merge_steps(root))
-    return [{"key": key, "status": "ok", "n_nodes": sum(1 for _ in walk(root)), "clock": clock, "disable": disable, "explanation": explain(root), "outline": outline(root), "merge": merged, "dot": dot(root)}]
+def trees(df: DataFrame, key: str, text: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each assertion with its tree's renderings."""
+    return _mapped(df, key, text, _tree_row, TREE_SCHEMA, columns)
 
 
-def trees(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each assertion with its tree's renderings."""
-    return _mapped(df.select(F.col(key).cast("long"), text), _tree_row, TREE_SCHEMA)
+def first_node(found: DataFrame, label: str) -> DataFrame:
+    """Of each tree (key, preorder, label, code) the first node in pre-order whose label begins so."""
+    best = F.min_by("code", "preorder")
+    return found.where(F.startswith("label", F.lit(label))).groupBy("key").agg(best.alias("code"), F.min("preorder").alias("preorder"))
+
+
+def signals(found: DataFrame) -> DataFrame:
+    """Of each tree (key, preorder, type, label) the leading identifiers of its signals in pre-order."""
+    leaves = F.array_sort(F.collect_list(F.when(F.col("type") == "signal", F.struct("preorder", "label"))))
+    return found.groupBy("key").agg(leading_names(F.transform(leaves, lambda v: v["label"])).alias("signals"))
+
+
+def without_macros(text: Column) -> Column:
+    """Macro uses as plain identifiers, so that the text parses; `with_macros` turns them back."""
+    return F.regexp_replace(text, r"`([A-Za-z_]\w*)", "macro__$1")
+
+
+def with_macros(text: Column) -> Column:
+    return F.regexp_replace(text, r"\bmacro__([A-Za-z_]\w*)", "`$1")
 
 
 def register(spark: SparkSession, name: str = "parse_sva") -> None:
@@ -419,7 +493,7 @@ def register(spark: SparkSession, name: str = "parse_sva") -> None:
 
     class ParseSva:
         def eval(self, key: int, text: str):
-            for r in _node_rows(key, text):
-                yield tuple(r.get(x.split()[0]) for x in NODE_SCHEMA.split(", "))
+            for r in _node_rows(text, NODE):
+                yield tuple({"key": key, **r}.get(x.split()[0]) for x in NODE_SCHEMA.split(", "))
 
     spark.udtf.register(name, udtf(ParseSva, returnType=NODE_SCHEMA))

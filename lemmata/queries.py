@@ -186,7 +186,7 @@ def fenced_code(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_LINES_SQL}
 SELECT idx, trim(rtrim(trim(regexp_replace(regexp_replace(sva, '^\\s*[A-Za-z_]\\w*\\s*:\\s*', ''), '\\s+', ' ', 'g')), ';')) AS normal,
- trim(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sva, '^\\s*\\w+\\s*:\\s*', ''), 'assert\\s+property\\s*\\(', ''), '@\\(\\s*posedge\\s+\\w+\\s*\\)', ''), 'disable\\s+iff\\s*\\([^()]*\\)', ''), '\\)\\s*;')[1]) AS body FROM v""")
+ trim(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sva, '^\\w+\\s*:\\s*assert', 'assert'), '^assert\\s+property\\s*\\(', ''), '@\\s*\\(\\s*(posedge|negedge)\\s+\\w+\\s*\\)', '', 'g'), 'disable\\s+iff\\s*\\([^)]*\\)', '', 'g'), '\\)\\s*;')[1]) AS body FROM v""")
 def normalized_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return _assertions(spark, sf).select("idx", X.normalize("sva").alias("normal"), X.property_body("sva").alias("body"))
 
@@ -260,14 +260,16 @@ def signal_lists(spark: SparkSession, sf: str) -> DataFrame:
     return _assertions(spark, sf).select("idx", "sva").distinct().select("idx", F.array_join(X.signal_names("sva"), ",").alias("signals"))
 
 
-_TURN = """CASE l_linenumber % 4 WHEN 0 THEN 'no fence' WHEN 1 THEN 'why' || chr(10) || '```sv' || chr(10) || 'a' || chr(10) || '```' WHEN 2 THEN '```sv' || chr(10) || 'a' || chr(10) || '```' ELSE 'why ```sv a' END"""
+_TURN = """CASE l_linenumber % 5 WHEN 0 THEN 'no fence' WHEN 1 THEN ' why' || CAST(l_suppkey % 9 AS STRING) || chr(10) || chr(10) || '```sv' || chr(10) || 'x' || chr(10) || '```' || chr(10) || 'so' || chr(10) || '```sv' || chr(10) || 'a' || chr(10) || '```' || chr(10) WHEN 2 THEN ' ' || chr(10) || '```sv' || chr(10) || 'a' || chr(10) || '```' WHEN 3 THEN 'why ```sv a' ELSE 'first ```c' || chr(10) || 'b' || chr(10) || '```' || chr(10) || '```sv' || chr(10) || 'a```' END"""
 
 
-@query(f"""SELECT ok, reason, turn, count(*) AS n FROM (
- SELECT CASE l_linenumber % 4 WHEN 1 THEN TRUE ELSE FALSE END AS ok, CASE l_linenumber % 4 WHEN 0 THEN 'no_fence' WHEN 2 THEN 'empty_reasoning' WHEN 3 THEN 'unclosed' END AS reason,
- CASE l_linenumber % 4 WHEN 1 THEN '<think>' || chr(10) || trim('why' || chr(10), chr(10)) || chr(10) || '</think>' || chr(10) || '```sv' || chr(10) || 'a' || chr(10) || '```' END AS turn FROM lineitem) GROUP BY ok, reason, turn""")
+@query(f"""WITH t AS (SELECT {_TURN.replace('AS STRING', 'AS VARCHAR')} AS t FROM lineitem),
+p AS (SELECT t, regexp_extract(t, '(?s)^(.*)```sv', 1) AS before, trim('```sv' || string_split(t, '```sv')[-1], ' ' || chr(10)) AS code, contains(t, '```sv') AS has FROM t),
+r AS (SELECT *, trim(before, ' ' || chr(10)) AS why FROM p),
+j AS (SELECT *, CASE WHEN NOT has THEN 'no_fence' WHEN why = '' THEN 'empty_reasoning' WHEN NOT ends_with(code, '```') THEN 'unclosed' END AS reason FROM r)
+SELECT reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN '<think>' || chr(10) || why || chr(10) || '</think>' || chr(10) || chr(10) || code END AS turn, count(*) AS n FROM j GROUP BY ALL""")
 def think_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    made = table(spark, sf, "lineitem").selectExpr(f"{_TURN} as t").withColumn("t", F.regexp_replace("t", "why\n", "why")).select(X.think_turn("t").alias("x"))
+    made = table(spark, sf, "lineitem").selectExpr(f"{_TURN} as t").select(X.think_turn("t", "sv").alias("x"))
     return made.groupBy("x.ok", "x.reason", F.col("x.text").alias("turn")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -334,8 +336,7 @@ def proof_reports(spark: SparkSession, sf: str) -> DataFrame:
 SELECT module, CAST(floor((count(*) - 10) / 2.0) AS BIGINT) AS sc, count(*) FILTER (pos >= 10 AND (pos - 10) % 2 = 0 AND result = 'proven') AS fc, count(*) FILTER (pos >= 10 AND (pos - 10) % 2 = 1 AND result = 'proven') AS fm FROM p GROUP BY module""")
 def design_metrics(spark: SparkSession, sf: str) -> DataFrame:
     golden = 10
-    w = Window.partitionBy("module").orderBy("l_orderkey", "l_linenumber", "result")
-    rows = _report(spark, sf).withColumn("pos", F.row_number().over(w) - 1)
+    rows = curate.numbered(_report(spark, sf), "l_orderkey", ("module",), ("l_linenumber", "result")).withColumn("pos", F.col("n") - 1)
     good = (F.col("pos") >= golden) & (F.col("result") == "proven")
     odd = F.pmod(F.col("pos") - golden, F.lit(2))
     return rows.groupBy("module").agg(F.floor((F.count(F.lit(1)) - golden) / 2).alias("sc"), F.count_if(good & (odd == 0)).alias("fc"), F.count_if(good & (odd == 1)).alias("fm"))
@@ -419,9 +420,10 @@ def distinct_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("lang", "source").distinct()
 
 
-@query("SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT o_custkey AS user_key FROM orders WHERE o_totalprice > 100000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set_difference(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select("c_nationkey").subtract(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey")))
+    orders = table(spark, sf, "orders").withColumn("user_key", F.col("o_custkey"))
+    return orders.where("o_totalprice > 100000").select("user_key").subtract(orders.where("o_orderstatus = 'F'").select("user_key"))
 
 
 # ---------------------------------------------------------------- temporal operators
@@ -554,18 +556,50 @@ def parser_coverage(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_LINES_SQL}, o AS (SELECT CASE idx % 10 % 7 WHEN 0 THEN ['|->', '##2'] WHEN 1 THEN ['!==', '&&', '!'] WHEN 2 THEN ['|=>', '$rose', '$past'] WHEN 3 THEN ['|->', '##[1:3]', 's_eventually'] WHEN 4 THEN ['and', 'until', 'not'] ELSE [] END AS ops FROM v)
 SELECT label, count(*) AS n FROM (SELECT unnest(ops) AS label FROM o) GROUP BY label""")
 def tree_operators(spark: SparkSession, sf: str) -> DataFrame:
-    got = sva.nodes(_assertions(spark, sf), "idx", "sva")
-    return got.where("type = 'operator'").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
+    texts = _assertions(spark, sf).groupBy("sva").agg(F.count(F.lit(1)).alias("n"))
+    got = sva.nodes(texts.withColumn("one", F.lit(1)), "n", "sva", ("type", "label"))
+    return got.where("type = 'operator'").groupBy("label").agg(F.sum("key").alias("n"))
+
+
+#: nodes of the seven assertion shapes: shape, node_id, parent_id, child_pos, preorder, type, label, code; R, P and Q stand for a row's numbers
+_NODE_ROWS = """(0, 4, NULL, 0, 1, 'operator', '|->', 'req_R |-> (##2 ack_b)'), (0, 1, 4, 0, 2, 'signal', 'req_R', 'req_R'), (0, 3, 4, 1, 3, 'operator', '##2', '##2 ack_b'), (0, 2, 3, 0, 4, 'signal', 'ack_b', 'ack_b'),
+(1, 6, NULL, 0, 1, 'operator', '!==', '(a && !b) !== 1''b1'), (1, 4, 6, 0, 2, 'operator', '&&', 'a && !b'), (1, 1, 4, 0, 3, 'signal', 'a', 'a'), (1, 3, 4, 1, 4, 'operator', '!', '!b'), (1, 2, 3, 0, 5, 'signal', 'b', 'b'), (1, 5, 6, 1, 6, 'signal', '1''b1', '1''b1'),
+(2, 6, NULL, 0, 1, 'operator', '|=>', '$rose(a) |=> $past(b, P)'), (2, 2, 6, 0, 2, 'operator', '$rose', '$rose(a)'), (2, 1, 2, 0, 3, 'signal', 'a', 'a'), (2, 5, 6, 1, 4, 'operator', '$past', '$past(b, P)'), (2, 3, 5, 0, 5, 'signal', 'b', 'b'), (2, 4, 5, 1, 6, 'signal', 'P', 'P'),
+(3, 6, NULL, 0, 1, 'operator', '|->', '(a ##[1:3] b) |-> (s_eventually c)'), (3, 3, 6, 0, 2, 'operator', '##[1:3]', 'a ##[1:3] b'), (3, 1, 3, 0, 3, 'signal', 'a', 'a'), (3, 2, 3, 1, 4, 'signal', 'b', 'b'), (3, 5, 6, 1, 5, 'operator', 's_eventually', 's_eventually c'), (3, 4, 5, 0, 6, 'signal', 'c', 'c'),
+(4, 6, NULL, 0, 1, 'operator', 'and', '(a until b) and (not pQ)'), (4, 3, 6, 0, 2, 'operator', 'until', 'a until b'), (4, 1, 3, 0, 3, 'signal', 'a', 'a'), (4, 2, 3, 1, 4, 'signal', 'b', 'b'), (4, 5, 6, 1, 5, 'operator', 'not', 'not pQ'), (4, 4, 5, 0, 6, 'signal', 'pQ', 'pQ'),
+(5, 1, NULL, 0, 1, 'signal', 'a', 'a')"""
+_FILL = lambda x: f"replace(replace(replace({x}, 'req_R', 'req_' || r), 'b, P', 'b, ' || p), 'pQ', 'p' || q)"
+_SHAPES_SQL = f"""nt(shape, node_id, parent_id, child_pos, preorder, type, label, code) AS (VALUES {_NODE_ROWS}),
+sh AS (SELECT l_orderkey * 10 + l_linenumber AS key, {_SVA.replace('AS STRING', 'AS VARCHAR')} AS sva, l_linenumber % 7 AS shape, l_suppkey % 7 AS r, l_partkey % 3 + 1 AS p, l_partkey % 11 AS q FROM lineitem),
+nd AS (SELECT key, sva, sh.shape AS shape, node_id, parent_id, child_pos, preorder, type, CASE label WHEN 'req_R' THEN 'req_' || r WHEN 'P' THEN '' || p WHEN 'pQ' THEN 'p' || q ELSE label END AS label, CASE code WHEN 'P' THEN '' || p ELSE {_FILL('code')} END AS code FROM sh JOIN nt ON sh.shape = nt.shape)"""
+
+
+@query(f"""WITH {_SHAPES_SQL}
+SELECT key, 'ok' AS status, CAST(node_id AS INTEGER) AS node_id, CAST(parent_id AS INTEGER) AS parent_id, CAST(child_pos AS INTEGER) AS child_pos, CAST(preorder AS INTEGER) AS preorder, type, label, code FROM nd
+UNION ALL SELECT key, 'error: expected ), got the end', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sh WHERE shape = 6""")
 def tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return sva.nodes(_assertions(spark, sf), "idx", "sva")
 
 
-@query()
+_MEANINGS = """m(shape, explanation, outline) AS (VALUES (0, 'whenever req_R, 2 cycles later ack_b in the same cycle', '|->/├─ req_R/└─ ##2/   └─ ack_b'), (1, 'a and b is false is not identical to 1''b1', '!==/├─ &&/│  ├─ a/│  └─ !/│     └─ b/└─ 1''b1'),
+(2, 'whenever a rises, b of P cycles before in the next cycle', '|=>/├─ $rose/│  └─ a/└─ $past/   ├─ b/   └─ P'), (3, 'whenever a, then 1 to 3 cycles later b, eventually c in the same cycle', '|->/├─ ##[1:3]/│  ├─ a/│  └─ b/└─ s_eventually/   └─ c'),
+(4, 'both a until b and it is not the case that pQ', 'and/├─ until/│  ├─ a/│  └─ b/└─ not/   └─ pQ'), (5, 'a', 'a'))"""
+
+
+@query(f"""WITH {_SHAPES_SQL}, {_MEANINGS},
+sd AS (SELECT sva, any_value(shape) AS shape, any_value(r) AS r, any_value(p) AS p, any_value(q) AS q FROM sh GROUP BY sva),
+ns AS (SELECT DISTINCT sva, shape, node_id, parent_id, child_pos, preorder, type, label FROM nd),
+t AS (SELECT *, max(preorder) OVER (PARTITION BY sva) - preorder + 1 AS k, 'T' || (max(preorder) OVER (PARTITION BY sva) - preorder + 1) AS name FROM ns),
+kids AS (SELECT sva, parent_id, list(name ORDER BY child_pos) AS names FROM t WHERE parent_id IS NOT NULL GROUP BY 1, 2),
+steps AS (SELECT t.sva AS sva, string_agg(name || ' = ' || CASE WHEN names IS NULL THEN label WHEN len(names) = 2 THEN names[1] || ' ' || label || ' ' || names[2] ELSE label || '(' || array_to_string(names, ', ') || ')' END, '; ' ORDER BY k) AS merge, count(*) AS n FROM t LEFT JOIN kids ON t.sva = kids.sva AND t.node_id = kids.parent_id GROUP BY t.sva),
+lines AS (SELECT sva, string_agg('  n' || node_id || ' [label="' || label || '", shape=' || CASE type WHEN 'operator' THEN 'box' ELSE 'ellipse' END || '];', chr(10) ORDER BY preorder) AS a, string_agg('  n' || parent_id || ' -> n' || node_id || ';', chr(10) ORDER BY preorder) FILTER (parent_id IS NOT NULL) AS b FROM ns GROUP BY sva),
+each AS (SELECT sd.sva AS sva, CAST(n AS INTEGER) AS n_nodes, {_FILL("replace(explanation, 'of P', 'of ' || p)")} AS explanation, replace({_FILL('outline')}, '─ P', '─ ' || p) AS outline_flat, merge,
+ 'digraph sva {{' || chr(10) || a || CASE WHEN b IS NULL THEN '' ELSE chr(10) || b END || chr(10) || '}}' AS dot FROM sd JOIN m ON sd.shape = m.shape JOIN steps ON sd.sva = steps.sva JOIN lines ON sd.sva = lines.sva)
+SELECT key, 'ok' AS status, 'posedge clk' AS clock, 'tb_reset' AS disable, n_nodes, explanation, outline_flat, merge, dot FROM sh JOIN each ON sh.sva = each.sva
+UNION ALL SELECT key, 'error: expected ), got the end', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sh WHERE shape = 6""")
 def tree_explanations(spark: SparkSession, sf: str) -> DataFrame:
-    return sva.trees(_assertions(spark, sf), "idx", "sva")
+    got = sva.trees(_assertions(spark, sf), "idx", "sva", ("clock", "disable", "n_nodes", "explanation", "outline", "merge", "dot"))
+    return got.withColumn("outline_flat", F.replace("outline", F.lit("\n"), F.lit("/"))).drop("outline")
 
 
 # ---------------------------------------------------------------- generation dataflow
@@ -589,3 +623,6 @@ def retrieval_prompts(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts >= p + INTERVAL 30 MINUTE GROUP BY user_id")
 def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).count().groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+from lemmata import queries_more  # noqa: E402, F401  (registers its queries here)

@@ -143,3 +143,9 @@ def missing(index: DataFrame, files: DataFrame, name: str) -> DataFrame:
     """Count and first example of the names of an index that no file has."""
     gone = index.join(files.select(name).distinct(), name, "left_anti")
     return gone.agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("example"))
+
+
+def design_files(rows: DataFrame, order: str, line: str) -> DataFrame:
+    """(method, file, text): the file of each design and method, named after both, its lines in order."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n")
+    return rows.groupBy("method", "design").agg(text.alias("text")).select("method", F.concat("design", F.lit("_"), "method", F.lit(".sv")).alias("file"), "text")
