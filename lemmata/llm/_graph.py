@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lemmata.llm._bytes import pieces, text_bytes
 
 #: pairs that a task holds before it hands them on, and edges that a bucket of `components` has on average at most
-FLUSH, HELD = 2_000_000, 250_000
+FLUSH, HELD = 2_000_000, 1_000_000
 #: buckets per shuffle partition; a task holds one at a time
 FINE = 8
 #: shingles and members that one side of a verification block holds on average

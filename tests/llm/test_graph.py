@@ -24,7 +24,7 @@ def roots(edges):
     return {x: find(x) for x in up}
 
 
-@pytest.mark.parametrize("held", [250_000, 700])
+@pytest.mark.parametrize("held", [1_000_000, 700])
 def test_components_of_chains_stars_and_repeats(spark, monkeypatch, held):
     monkeypatch.setattr(_graph, "HELD", held)
     r = random.Random(7)
