@@ -21,7 +21,7 @@ further columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmata.llm import _graph
@@ -40,6 +40,8 @@ GROUP = r"[+(]{0,2}+[0-9][0-9()./-]*+(?=[^\s\p{L}0-9@]*+(?!\S))"
 RUN = rf"(?<!\S)(?:[^\s0-9@=:]{{1,40}}+[=:])?+[^\s\p{{L}}0-9@+(]*+{GROUP}(?:[\x20\t]++{GROUP})++"
 ROUNDS, BAR, SUPPORT = 3, 0.8, 3
 LEFT_CHARS = 64
+#: pieces of a text that are walked at once
+WALK = 256
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 SEED = "array<struct<start:int,kind:int,end:int,left:string,label:string,core:string>>"
 CAND = "array<struct<start:int,end:int,left:string,label:string,core:string>>"
@@ -87,56 +89,90 @@ def _left(before: Column) -> Column:
     return F.when(word.rlike("[0-9@]"), F.lit("")).otherwise(F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}=:]", "")))
 
 
+def _let(x: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _walk(text: Column, pattern: str, kind: str, take) -> Column:
+    """What `take(at, before, piece)` makes of each match: (fits, struct), in order. `before`: the text on its left.
+
+    The pieces are walked in blocks, so that the time follows the length of the text: lists grow
+    within a block only.
+    """
+
+    def blocks(pieces: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / WALK).cast("int"))
+        return F.transform(starts, lambda i: F.slice(pieces, i * WALK + 1, F.lit(WALK)))
+
+    def offsets(cut: Column) -> Column:
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x))
+        begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda s, b: F.struct((s["at"] + length(b)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+        return F.aggregate(cut, begun, step, lambda s: s["all"])
+
+    def inside(block: Column, at: Column, before: Column) -> Column:
+        start = F.struct(at.alias("at"), F.lit(0).alias("i"), before.alias("before"), F.array().cast(kind).alias("found"))
+
+        def step(s: Column, x: Column) -> Column:
+            fits, one = take(s["at"], s["before"], x)
+            left = F.right(F.concat(s["before"], F.right(x, F.lit(LEFT_CHARS))), F.lit(LEFT_CHARS))
+            found = F.when((s["i"] % 2 == 1) & fits, F.concat(s["found"], F.array(one))).otherwise(s["found"])
+            return F.struct((s["at"] + F.length(x)).cast("int").alias("at"), (s["i"] + 1).alias("i"), left.alias("before"), found.alias("found"))
+
+        return F.aggregate(block, start, step, lambda s: s["found"])
+
+    def all_blocks(cut: Column) -> Column:
+        def one(block: Column, i: Column, at: Column) -> Column:
+            # a block's pieces hold as many characters as the left context asks for, or all there are
+            near = F.when(i > 0, F.array_join(F.get(cut, i - 1), "")).otherwise(F.lit(""))
+            return inside(block, at, F.right(near, F.lit(LEFT_CHARS)))
+
+        return _let(offsets(cut), lambda at: F.flatten(F.transform(cut, lambda block, i: one(block, i, F.get(at, i)))))
+
+    return _let(_marked(text, pattern), lambda pieces: _let(blocks(pieces), all_blocks))
+
+
 def base_spans(text: Column, kind: int, pattern: str) -> Column:
     """The valid spans of one kind with the word on their left, the label of their token and their text."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("before"), F.array().cast(SEED).alias("found"))
 
-    def step(s: Column, x: Column) -> Column:
-        to = (s["at"] + F.length(x)).cast("int")
-        begun = F.regexp_extract(s["before"], r"(?<!\S)(\S++)\z", 1)
-        left = _left(F.substr(s["before"], F.lit(1), F.length(s["before"]) - F.length(begun)))
-        one = F.array(F.struct(s["at"].alias("start"), F.lit(kind).alias("kind"), to.alias("end"), left.alias("left"), F.lower(_label(begun)).alias("label"), x.alias("core")))
-        hit = (s["i"] % 2 == 1) & _valid(kind, x)
-        before = F.right(F.concat(s["before"], F.right(x, F.lit(LEFT_CHARS))), F.lit(LEFT_CHARS))
-        return F.struct(to.alias("at"), (s["i"] + 1).alias("i"), before.alias("before"), F.when(hit, F.concat(s["found"], one)).otherwise(s["found"]).alias("found"))
+    def take(at: Column, before: Column, x: Column) -> tuple[Column, Column]:
+        begun = F.regexp_extract(before, r"(?<!\S)(\S++)\z", 1)
+        left = _left(F.substr(before, F.lit(1), F.length(before) - F.length(begun)))
+        to = (at + F.length(x)).cast("int")
+        return _valid(kind, x), F.struct(at.alias("start"), F.lit(kind).alias("kind"), to.alias("end"), left.alias("left"), F.lower(_label(begun)).alias("label"), x.alias("core"))
 
-    return F.aggregate(_marked(text, pattern), start, step, lambda s: s["found"])
+    return _walk(text, pattern, SEED, take)
 
 
 def candidates(text: Column, pattern: str) -> Column:
     """Identifier-like matches with the word on their left, the label within them and the rest."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("before"), F.array().cast(CAND).alias("found"))
 
-    def step(s: Column, x: Column) -> Column:
-        to = (s["at"] + F.length(x)).cast("int")
+    def take(at: Column, before: Column, x: Column) -> tuple[Column, Column]:
         label = _label(x)
         bare = F.regexp_replace(F.substr(x, F.length(label) + 1), r"\A[^A-Za-z0-9+(]+", "")
         begin = F.length(x) - F.length(bare)
         core = F.regexp_replace(bare, r"[^A-Za-z0-9)]{1,20}\z", "")
-        one = F.array(
-            F.struct((s["at"] + begin).cast("int").alias("start"), (s["at"] + begin + F.length(core)).cast("int").alias("end"), _left(s["before"]).alias("left"), F.lower(label).alias("label"), core.alias("core"))
-        )
-        fit = (s["i"] % 2 == 1) & core.rlike("[0-9@]") & (F.length(F.regexp_replace(core, "[^A-Za-z0-9]", "")) >= 6)
-        before = F.right(F.concat(s["before"], F.right(x, F.lit(LEFT_CHARS))), F.lit(LEFT_CHARS))
-        return F.struct(to.alias("at"), (s["i"] + 1).alias("i"), before.alias("before"), F.when(fit, F.concat(s["found"], one)).otherwise(s["found"]).alias("found"))
-
-    return F.aggregate(_marked(text, pattern), start, step, lambda s: s["found"])
-
+        fits = core.rlike("[0-9@]") & (F.length(F.regexp_replace(core, "[^A-Za-z0-9]", "")) >= 6)
+        start, end = (at + begin).cast("int"), (at + begin + F.length(core)).cast("int")
+        return fits, F.struct(start.alias("start"), end.alias("end"), _left(before).alias("left"), F.lower(label).alias("label"), core.alias("core"))
 
-def outermost(spans: Column) -> Column:
-    """Spans (start, end) without those that lie within another, of nested or disjoint ones."""
-    start = F.struct(F.lit(-1).alias("to"), F.array().cast(SPAN).alias("kept"))
+    return _walk(text, pattern, CAND, take)
 
-    def step(s: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end")))
-        return F.when(x["end"] > s["to"], F.struct(x["end"].alias("to"), F.concat(s["kept"], one).alias("kept"))).otherwise(s)
 
-    by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["end"].alias("end"))))
-    return F.aggregate(by_start, start, step, lambda s: s["kept"])
+def apart(entities: DataFrame) -> DataFrame:
+    """The entities (doc_id, h, start, end, seed, ...) that are no seeds and overlap none of their text's, by two running bounds."""
+    text = Window.partitionBy("doc_id", "h")
+    until = F.max(F.when(F.col("seed"), F.col("end"))).over(text.orderBy("start"))
+    onward = F.min(F.when(F.col("seed"), F.col("start"))).over(text.orderBy(F.desc("start")))
+    marked = entities.withColumn("_until", F.coalesce(until, F.lit(0))).withColumn("_from", onward)
+    return marked.where(~F.col("seed") & (F.col("_until") <= F.col("start")) & (F.col("_from").isNull() | (F.col("_from") >= F.col("end")))).drop("_until", "_from")
 
 
-def _overlaps(spans: str, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < end) & (b["end"] > start))
+def outermost(spans: DataFrame) -> DataFrame:
+    """Spans (doc_id, h, start, end) without those that lie within another of their text, of nested or disjoint ones."""
+    before = Window.partitionBy("doc_id", "h").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("_to", F.coalesce(F.max("end").over(before), F.lit(-1))).where(F.col("end") > F.col("_to")).drop("_to")
 
 
 def bootstrap(edges: DataFrame) -> DataFrame:
@@ -171,13 +207,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.select("doc_id", "h", F.array_sort(F.concat("k0", "k1", "k2", "k3")).alias("seeds"), F.concat("tokens", "runs").alias("cands"))
     plain = F.transform("seeds", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     base = _graph.cut(rows.select("doc_id", "h", plain.alias("base"), "seeds", "cands"))
-    unseen = base.where(F.size("cands") > 0).select("doc_id", "h", "base", F.explode("cands").alias("c")).where(~_overlaps("base", F.col("c.start"), F.col("c.end"))).select("doc_id", "h", "c.*")
-    seeds = base.where(F.size("seeds") > 0).select(F.explode("seeds").alias("c"))
-    each = seeds.select("c.left", "c.label", "c.core", F.lit(True).alias("seed")).union(unseen.select("left", "label", "core", F.lit(False).alias("seed")))
+    name = ["left", "label", "core"]
+    seeds = base.where(F.size("seeds") > 0).select("doc_id", "h", F.explode("seeds").alias("c")).select("doc_id", "h", "c.start", "c.end", *[f"c.{x}" for x in name], F.lit(True).alias("seed"))
+    cands = base.where(F.size("cands") > 0).select("doc_id", "h", F.explode("cands").alias("c")).select("doc_id", "h", "c.start", "c.end", *[f"c.{x}" for x in name], F.lit(False).alias("seed"))
+    unseen = apart(seeds.union(cands).distinct())
+    each = seeds.select(*name, "seed").union(unseen.select(*name, "seed"))
     patterns = F.array_compact(F.array(F.when(F.col("left") != "", F.concat(F.lit("L:"), "left")), F.when(F.col("label") != "", F.concat(F.lit("I:"), "label"))))
     edges = _graph.cut(each.select(F.explode(patterns).alias("pattern"), "core", "seed").groupBy("pattern", "core").agg(F.max("seed").alias("seed")))
-    found = unseen.join(bootstrap(edges), "core", "left_semi")
-    more = found.groupBy("doc_id", "h").agg(outermost(F.collect_set(F.struct("start", "end"))).alias("more")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more")
+    found = outermost(unseen.join(bootstrap(edges), "core", "left_semi").select("doc_id", "h", "start", "end").distinct())
+    one = F.struct("start", F.lit(4).alias("kind"), "end")
+    more = found.groupBy("doc_id", "h").agg(F.collect_list(one).alias("more")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more")
     joined = base.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     return joined.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("all"))
 
