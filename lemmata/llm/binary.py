@@ -175,15 +175,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            import tempfile
-
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lemmata-"))
-        base = sc._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_graph.shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_ids(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 2) -> DataFrame:

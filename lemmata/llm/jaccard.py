@@ -182,17 +182,18 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     Rows without words and rows with a null doc_id stay. Rows that share a doc_id are told apart by
     their sets, so unlike texts under one doc_id are judged each in its own component.
     """
-    own = F.col(id_col).cast("long")
-    again = docs.where(own.isNotNull()).groupBy(own.alias("_again")).count().where("count > 1").select("_again")
+    # the row travels as one struct, so that no name of its columns can clash
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_own"), F.col(text_col).alias("_text"))
+    again = rows.where("_own is not null").groupBy(F.col("_own").alias("_again")).count().where("count > 1").select("_again")
     unlike = not again.isEmpty()
     found = _joined(docs, n, percent, id_col, text_col) if unlike else jaccard_join(docs, n, percent, id_col, text_col)
     groups = _graph.cut(found.where("n_shingles > 0 and doc_id is not null"))
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     if not unlike:
-        return docs.join(gone, own == F.col("_gone"), "left_anti")
-    kept = docs.join(again, own == F.col("_again"), "left_anti").join(gone, own == F.col("_gone"), "left_anti")
-    repeated = docs.join(again, own == F.col("_again"), "left_semi")
-    named = repeated.mapInArrow(partial(_named, n=n, text_col=text_col), StructType([*repeated.schema.fields, StructField("_name", LongType())]))
+        return rows.join(gone, F.col("_own") == F.col("_gone"), "left_anti").select("_row.*")
+    kept = rows.join(again, F.col("_own") == F.col("_again"), "left_anti").join(gone, F.col("_own") == F.col("_gone"), "left_anti")
+    repeated = rows.join(again, F.col("_own") == F.col("_again"), "left_semi")
+    named = repeated.mapInArrow(partial(_named, n=n, text_col="_text"), StructType([*repeated.schema.fields, StructField("_name", LongType())]))
     leaders = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_lead"), F.col("node").alias("_node"), F.col("root").alias("_root")).distinct()
-    once = named.join(leaders, (own == F.col("_lead")) & (F.col("_name") == F.col("_node"))).dropDuplicates(["_lead", "_root"])
-    return kept.unionByName(once.select(docs.columns)).unionByName(named.where("_name is null").select(docs.columns))
+    once = named.join(leaders, (F.col("_own") == F.col("_lead")) & (F.col("_name") == F.col("_node"))).dropDuplicates(["_lead", "_root"])
+    return kept.select("_row.*").unionByName(once.select("_row.*")).unionByName(named.where("_name is null").select("_row.*"))

@@ -11,7 +11,7 @@ of all rows is spread over its blocks and no window covers more than one block's
 
 Defined cases: tokens are the maximal runs of characters other than ASCII white space; null and empty
 texts have none; a source without tokens gets weight 0 and each of its documents is used once; the
-null source is a source; repeated rows are used each; a null doc_id is hashed as the empty string;
+null source is a source; repeated rows (doc_id and text) are used each, all as often; a null doc_id is hashed as the empty string;
 further columns are ignored by `mix` and kept by `apply_mix`. An empty table gives an empty result.
 """
 
@@ -105,23 +105,23 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
     decided = placed.alias("b").join(quota.alias("q"), F.col("b.source").eqNullSafe(F.col("q.source"))).select(
         F.col("b.source").alias("_source"), F.col("b.block").alias("_block"), "weight", "full", (F.col("rest") - F.col("before")).alias("left"), "tokens"
     )
-    inside = Window.partitionBy("source", "block").orderBy("mark", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("mark", "doc_id", "tie").rangeBetween(Window.unboundedPreceding, 0)  # repeated rows together
     run = dealt.withColumn("upto", F.sum("n_tokens").over(inside))
     joined = run.join(decided, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
     uses = F.when(F.col("tokens") == 0, F.lit(1)).otherwise(F.col("full") + (F.col("upto") <= F.col("left")).cast("int"))
-    return joined.select("doc_id", "source", "n_tokens", "weight", uses.cast("int").alias("uses"), "tie")
+    return joined.select("doc_id", "source", "n_tokens", "weight", uses.cast("int").alias("uses"), "tie", "block")
 
 
 def realise(mixed: DataFrame, seed: int = 7) -> DataFrame:
-    """The order of training: a row for each use (doc_id, epoch, block_key, doc_key), a permutation for each epoch."""
+    """The order of training: a row for each use (doc_id, epoch, block_key, doc_key), of `mix`'s blocks and within them a permutation for each epoch."""
     each = mixed.where("uses > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("uses"))))
-    block = F.pmod(F.conv(F.substring(_mark(seed, F.col("doc_id")), 1, 8), 16, 10).cast("long"), F.lit(1 << 16))
-    return each.select("doc_id", "source", "epoch", _mark(seed, F.col("epoch"), block).alias("block_key"), _mark(seed, F.col("epoch"), F.col("doc_id")).alias("doc_key"))
+    return each.select("doc_id", "source", "epoch", _mark(seed, F.col("epoch"), F.col("block")).alias("block_key"), _mark(seed, F.col("epoch"), F.col("doc_id")).alias("doc_key"))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mixture uses it."""
     uses = mix(docs, **options).where("uses > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "uses").dropDuplicates(["_id", "_tie"])
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(uses, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")))
-    return joined.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("uses")))).select(*docs.columns)
+    # the row travels as one struct, so that no name of its columns can clash
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_key"), F.xxhash64("text").alias("_hash"))
+    joined = keyed.join(uses, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")))
+    return joined.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("uses")))).select("_row.*")

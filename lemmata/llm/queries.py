@@ -115,7 +115,7 @@ quota AS (SELECT source, tokens, p / (SELECT sum(p) FROM w) AS weight, p / (SELE
 parts AS (SELECT *, CASE WHEN tokens > 0 THEN floor(quota / tokens + 1e-9) ELSE 1 END AS whole FROM quota),
 b AS (SELECT source, block, sum(n) AS bt FROM dealt GROUP BY source, block),
 placed AS (SELECT source, block, sum(bt) OVER (PARTITION BY source ORDER BY md5('7:block:' || block), block) - bt AS before FROM b),
-run AS (SELECT dealt.*, sum(n) OVER (PARTITION BY source, block ORDER BY mark, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM dealt)
+run AS (SELECT dealt.*, sum(n) OVER (PARTITION BY source, block ORDER BY mark, doc_id RANGE UNBOUNDED PRECEDING) AS upto FROM dealt)
 SELECT doc_id, run.source AS source, n AS n_tokens, round(weight, 6) AS weight,
   CAST(CASE WHEN tokens = 0 THEN 1 ELSE whole + CASE WHEN upto <= greatest(0.0, quota - whole * tokens) + 1e-6 - before THEN 1 ELSE 0 END END AS INTEGER) AS uses
 FROM run JOIN placed ON run.source IS NOT DISTINCT FROM placed.source AND run.block = placed.block

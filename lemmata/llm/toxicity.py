@@ -322,7 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows whose crc32(doc_id) mod 4 is not 2."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.length("text") <= SAMPLE_CHARS).select("_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.length("text") <= SAMPLE_CHARS).select("_id", "text", "toxic")
     one = rows.groupBy("_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), F.col("text").alias("t")))["t"].alias("text"))
     one = _graph.cut(one)
     kept, total = [], 0
