@@ -3,6 +3,9 @@ documents that hold benchmark passages go, sources are mixed to target weights,
 encoded and written.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one reads it from Parquet.
+
+Defined cases, for all stages: columns beyond doc_id, text and source are kept whatever their names, up
+to the token files; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,25 +21,33 @@ ENTROPY, REPEATS = 0.95, 1.25
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score below 0.3. Null and empty texts are scored like any (as without toxic words); repeated rows
+    score alike, so all stay or go; documents with a null doc_id are scored and never learnt from."""
     return toxicity.drop_toxic(docs, table(ensure_importable(spark), sf_dir, "labels"), threshold=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links join: the one of least doc_id; of repeated rows one. Rows without words and rows
+    with a null doc_id stay; unlike texts under one doc_id are judged each on its own."""
     ensure_importable(spark)
     return jaccard.keep_first(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a window of a benchmark item. Null, empty and wordless texts stay; repeated rows are judged alike."""
     return decontam.decontaminate(docs, table(ensure_importable(spark), sf_dir, "benchmark"), window=10)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks, at least once. The null source is a source; documents without
+    tokens are used once; repeated rows are used alike; a null doc_id is hashed as the empty string."""
     ensure_importable(spark)
     return mixing.apply_mix(docs, entropy=ENTROPY, repeats=REPEATS, fill=True)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document use: doc_id, start, n_tokens and ids_crc32, read back from the files."""
+    """Per document use: doc_id, start, n_tokens and ids_crc32, read back from the files, in ascending order of doc_id with
+    null first. A null or empty text is the end id alone; repeated uses stand one after the other."""
     ensure_importable(spark)
     return binary.read_back(binary.write_ids(docs, tokenize.vocabulary_path(), end_id=2))
 
@@ -49,7 +60,7 @@ STAGES = [
     ("token-ID output", token_files),
 ]
 
-#: the model and the tokenizer are not expressible in SQL; tests hold the stages against brute force
+#: the model and the tokenizer are not expressible in SQL; tests/llm/test_pipeline.py holds the stages against brute force
 ORACLE_SQL = None
 
 
