@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: bytes of one Arrow batch between the JVM and a Python worker, where the session names none of its own
+BATCH_BYTES = 8 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -27,7 +29,10 @@ def build_session(app: str = "lemmata", cpus: int | str = "*", partitions: int =
 
 
 def ensure_importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even when the driver found it through sys.path alone."""
+    """Let Python workers import this package even when the driver found it through sys.path alone, and bound their batches."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if limit not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(limit, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")) if p]
     if ROOT not in os.pathsep.join(paths).split(os.pathsep):
