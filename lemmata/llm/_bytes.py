@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: bytes of text after which a worker gives freed memory back
 RELEASE = 16 << 20
 U = np.uint64
@@ -64,7 +64,7 @@ def release(used: int) -> None:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _ipow
     if len(_pow) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(19, n.bit_length())
         made = []
         for base in (_BASE, _INVERSE):
             p = np.full(size, base, U)

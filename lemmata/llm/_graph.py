@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.llm._bytes import pieces, text_bytes
+from lemmata.llm._bytes import RELEASE, pieces, release, text_bytes
 
 #: pairs that a task holds before it hands them on, and edges that a bucket of `components` has on average at most
-FLUSH, HELD = 2_000_000, 1_000_000
+FLUSH, HELD = 1_000_000, 1_000_000
 #: buckets per shuffle partition; a task holds one at a time
 FINE = 8
 #: shingles and members that one side of a verification block holds on average
@@ -163,6 +163,7 @@ def shared(df: DataFrame, node: str, keys: str, stars: bool = False) -> DataFram
                 yield from flush()
                 size = 0
         yield from flush()
+        release(RELEASE)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -188,6 +189,7 @@ def shared(df: DataFrame, node: str, keys: str, stars: bool = False) -> DataFram
                     now = bucket.as_py()
                 held.append(pairs)
         yield from close()
+        release(RELEASE)
 
     return (
         df.select(node, keys)
@@ -262,6 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
                 size = 0
         if size:
             yield from flush()
+        release(RELEASE)
 
     e = cut(edges.where("a <> b").select("a", "b").mapInArrow(contract, schema))
     buckets = max(1, -(-e.count() // HELD))
@@ -310,6 +313,8 @@ def components(edges: DataFrame) -> DataFrame:
         if not same:
             out.append((here[:1], CHANGED, here[:1], here[:1]))
         yield from _messages(out)
+        del got, dest, kind, a, b, nodes, root, out
+        release(RELEASE)
 
     e = e.mapInArrow(address, schema)
     while True:
@@ -463,6 +468,7 @@ def verify(blocks: DataFrame, make: Callable[[pa.Array], list[np.ndarray]], perc
             yield from send()
         close()
         yield from send()
+        release(RELEASE)
 
     return (
         blocks.select("root", "bi", "bj", "own", "node", "copies", "text")

@@ -28,7 +28,7 @@ from lemmata.llm import _graph
 from lemmata.llm._bytes import ALNUM, LOWER, Words, runs, words
 
 #: bytes of text in one shard's suffix array, and of benchmark text searched at once
-SHARD, BLOCK = 1 << 22, 32 << 20
+SHARD, BLOCK = 1 << 20, 32 << 20
 SCHEMA = "doc_id long, text string, n_words long, hits array<int>, items array<long>, longest int, longest_at int"
 
 
