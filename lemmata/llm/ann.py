@@ -9,7 +9,8 @@ are ranked by exact Euclidean distance in double precision, and the shards' near
 `EFFORT` (entries over all trees that end the ascent, for each vector of the shard) sets the recall: on
 vectors spread evenly over the sphere, the hardest case, 1.2 gives 0.99. The ascent never ends with
 fewer entries than make sure of k candidates; a shard with no more vectors than k is found whole at
-level 0. Queries travel in broadcast blocks of bounded size.
+level 0. Queries never pass the driver: they are written in blocks of bounded size to the folder that the
+cluster shares, and a task builds its shard's forest once and reads block after block.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those whose length is not the most frequent one (of equals the smaller); of rows that share a
@@ -20,6 +21,7 @@ no query and no candidate; further columns are ignored. Fewer candidates than k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -27,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmata.llm.binary import filesystem, work_folder
+
 TREES, BITS, EFFORT = 24, 64, 1.5
-#: vectors in a shard at most, queries in a broadcast block
+#: vectors in a shard at most, queries in a block on average
 SHARD, QUERIES = 1 << 16, 20_000
 U = np.uint64
 
@@ -77,26 +81,46 @@ class Forest:
             yield np.unique(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo[:, q].tolist(), hi[:, q].tolist(), strict=True)]))
 
 
+@dataclass
+class QueryFile:
+    """A block of queries (vec_id, v) in a Parquet file of the shared folder."""
+
+    path: str
+    dim: int
+
+    @property
+    def value(self) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow.parquet as pq
+
+        fs, where = filesystem(self.path)
+        with fs.open_input_file(where) as source:
+            block = pq.read_table(source, columns=["vec_id", "v"]).combine_chunks()
+        return block.column("vec_id").to_numpy(), matrix(block.column("v").combine_chunks(), self.dim)
+
+
 def _search(batches: Iterator[pa.RecordBatch], queries, dim: int, k: int, effort: float) -> Iterator[pa.RecordBatch]:
-    ids, vectors = queries.value
+    """Each query's k nearest of each shard; `queries` is a block or a list of blocks, loaded one at a time."""
+    blocks = queries if isinstance(queries, list) else [queries]
 
     def shard(held):
         who = np.concatenate([x for x, _ in held])
         rows = np.concatenate([x for _, x in held])
         forest = Forest(rows)
         enough = max(int(effort * len(rows)), len(forest.keys) * (k + 1))  # one tree then has k others than the query
-        out = []
-        for a in range(0, len(ids), 512):
-            some = vectors[a : a + 512]
-            for i, rowset in enumerate(forest.candidates(some, enough)):
-                rowset = rowset[who[rowset] != ids[a + i]]
-                d = np.sqrt(((rows[rowset].astype(np.float64) - some[i].astype(np.float64)) ** 2).sum(1))
-                if len(d) > k:
-                    least = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    rowset, d = rowset[least], d[least]
-                best = np.lexsort((who[rowset], d))[:k]
-                out.append((np.full(len(best), ids[a + i]), who[rowset[best]], d[best]))
-        return out
+        for block in blocks:
+            ids, vectors = block.value
+            out = []
+            for a in range(0, len(ids), 512):
+                some = vectors[a : a + 512]
+                for i, rowset in enumerate(forest.candidates(some, enough)):
+                    rowset = rowset[who[rowset] != ids[a + i]]
+                    d = np.sqrt(((rows[rowset].astype(np.float64) - some[i].astype(np.float64)) ** 2).sum(1))
+                    if len(d) > k:
+                        least = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                        rowset, d = rowset[least], d[least]
+                    best = np.lexsort((who[rowset], d))[:k]
+                    out.append((np.full(len(best), ids[a + i]), who[rowset[best]], d[best]))
+            yield from send(out)
 
     def send(out):
         for a in range(0, len(out), 2000):
@@ -109,10 +133,10 @@ def _search(batches: Iterator[pa.RecordBatch], queries, dim: int, k: int, effort
             held.append((b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), dim)))
             size += b.num_rows
         if size >= SHARD:
-            yield from send(shard(held))
+            yield from shard(held)
             held, size = [], 0
     if size:
-        yield from send(shard(held))
+        yield from shard(held)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -136,20 +160,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, effort: float = EFFORT, i
     else:
         dim = common["dim"]
         rows = rows.where(F.size("v") == dim)
-        asked = rows.where(is_query)
-        blocks = -(-asked.count() // QUERIES)
+        asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+        n_asked = rows.where(is_query).select("vec_id").distinct().count()
+        folder = work_folder(spark, "ann-queries")
+        asked.repartition(max(1, -(-n_asked // QUERIES)), "vec_id").write.parquet(folder)
+        blocks = [QueryFile(x, dim) for x in sorted(spark.read.parquet(folder).inputFiles())]
         shards = max(1, -(-int(common["count"]) // SHARD))
         dealt = rows.repartition(max(shards, min(8, -(-int(common["count"]) // 8192))))
-        parts = []
-        for b in range(blocks):
-            block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-            ids, vecs = block.column("vec_id").to_numpy(), matrix(block.column("v").combine_chunks(), dim)
-            order = np.lexsort((*vecs.T[::-1], ids))
-            order = order[np.unique(ids[order], return_index=True)[1]]
-            held = spark.sparkContext.broadcast((ids[order], vecs[order]))
-            parts.append(dealt.mapInArrow(partial(_search, queries=held, dim=dim, k=k, effort=effort), out))
-        found = spark.createDataFrame([], out)
-        for p in parts:
-            found = found.unionAll(p)
+        found = dealt.mapInArrow(partial(_search, queries=blocks, dim=dim, k=k, effort=effort), out)
     near = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

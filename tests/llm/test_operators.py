@@ -149,6 +149,63 @@ def test_token_counts(spark, edge_docs, empty_docs):
     assert token_counts.section_counts(empty_docs, tokenize.vocabulary_path()).count() == 0
 
 
+def brute_counts(path, text, sections):
+    """Tokens and crossing tokens of each section, token by token over the whole text's encoding."""
+    from tokenizers import Tokenizer
+
+    out = [[0, 0] for _ in sections]
+    for a, b in Tokenizer.from_file(path).encode(text, add_special_tokens=False).offsets:
+        shared = [min(b, e) - max(a, s) for s, e in sections]
+        if sections and max(shared) > 0:
+            k = shared.index(max(shared))  # of equals the first
+            out[k][0] += 1
+            out[k][1] += a < sections[k][0] or b > sections[k][1]
+    return out
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_counts_brute(spark, name):
+    path, r = tokenize.vocabulary_path(name), random.Random(4)
+    words = ["Internationalization", "naïve", "東京タワー", "it's", "x", "antidisestablishmentarianism", "12345", "e\u0301t", "🙂🙂"]
+    data = []
+    for i in range(60):
+        text = "".join(r.choice(words) + r.choice([" ", "  ", "\t", "\n", ""]) for _ in range(r.choice([0, 1, 3, 12, 40])))
+        cuts = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, r.choice([0, 2, 4, 6, 12]))))
+        cuts = cuts[: len(cuts) // 2 * 2]
+        data.append((i, text, list(zip(cuts[::2], cuts[1::2], strict=True))))
+    docs = spark.createDataFrame(data, "doc_id long, text string, sections array<struct<start:int,end:int>>")
+    got = {(x["doc_id"], x["section"]): [x["n_tokens"], x["n_crossing"]] for x in rows(token_counts.section_counts(docs, path, "sections"))}
+    assert got == {(i, k): n for i, t, s in data for k, n in enumerate(brute_counts(path, t, s))}
+
+
+def test_token_count_ties_go_to_the_first_section():
+    tokens = np.array([[0, 4], [4, 8], [8, 9], [20, 24]])
+    which, crossing = token_counts.allocate(tokens, np.array([0, 2, 7]), np.array([2, 7, 12]))
+    assert which.tolist() == [0, 1, 2, -1] and crossing.tolist() == [True, True, False, False]
+
+
+def test_files_of_a_vocabulary_that_keeps_white_space(spark, edge_docs):
+    from tokenizers import Tokenizer
+
+    path = tokenize.vocabulary_path("byte_bpe_50k.json")
+    assert tokenize.tokenizer(tokenize.vocabulary_path()).by_parts and not tokenize.tokenizer(path).by_parts
+    text = {r["doc_id"]: r["text"] or "" for r in rows(edge_docs)}
+    for r in rows(binary.read_back(binary.write_ids(edge_docs, path))):
+        ids = np.array([*Tokenizer.from_file(path).encode(text[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_ann_many_blocks_of_queries(spark, monkeypatch):
+    v = np.random.default_rng(3).standard_normal((900, 16)).astype(np.float32)
+    data = [(i, x.tolist(), "n") for i, x in enumerate(v)] + [(20, v[21].tolist(), "n"), (None, v[0].tolist(), None)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, v string")
+    key = lambda r: (r["query_id"], r["rank"], r["vec_id"], r["score"])
+    one = sorted(map(key, rows(ann.nearest(df, "vec_id % 20 = 0"))))
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    assert sorted(map(key, rows(ann.nearest(df, "vec_id % 20 = 0")))) == one and len(one) == 450
+    assert ann.nearest(df, "vec_id < 0").count() == 0
+
+
 def test_mixing(spark, edge_docs, empty_docs):
     docs = spark.createDataFrame([(i, "w " * 10, "big" if i % 10 else "small") for i in range(2000)], "doc_id long, text string, source string")
     got = rows(mixing.mix(docs, repeats=2.0))
