@@ -59,10 +59,9 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, given: bool) -> Iterato
         ids = b.column(0)
         sections = b.column(2).to_pylist() if given else None
         for w in words(b.column(1), NON_SPACE, IDENTITY):
-            _, first, spans, part = encoder.encode(w)
+            _, first, spans, origin = encoder.encode(w)
             chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-            base = chars[w.start[part]]
-            at = np.stack([base + spans[:, 0], base + spans[:, 1]], 1) if len(part) else np.zeros((0, 2), np.int64)
+            at = chars[origin][:, None] + spans
             if given:
                 starts, ends, owner, number = [], [], [], []
                 for d in range(w.hi - w.lo):
