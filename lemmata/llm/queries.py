@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.llm import ann, binary, decontam, jaccard, lines, mixing, pii, token_counts, tokenize, toxicity, urls
+from lemmata.llm import ann, binary, decontam, exact, jaccard, lines, mixing, pii, token_counts, tokenize, toxicity, trie, urls, whiten
 from lemmata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,10 +55,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.regrown(table(spark, sf_dir, "conversations"), every=5, heads=9))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), k=16)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op2_ann, op3_url_filter, op4_decontamination, op5_token_counts, op6_mixing, op7_jaccard_join, op8_toxicity, op9_token_ids, op10_line_dedup)
-}
+    for f in (
+        op1_pii, op2_ann, op3_url_filter, op4_decontamination, op5_token_counts, op6_mixing, op7_jaccard_join, op8_toxicity, op9_token_ids, op10_line_dedup,
+        op11_prefix_trie, op12_whitening, op13_exact_dedup,
+    )
+}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -120,5 +135,41 @@ SELECT doc_id, run.source AS source, n AS n_tokens, round(weight, 6) AS weight,
   CAST(CASE WHEN tokens = 0 THEN 1 ELSE whole + CASE WHEN upto <= greatest(0.0, quota - whole * tokens) + 1e-6 - before THEN 1 ELSE 0 END END AS INTEGER) AS uses
 FROM run JOIN placed ON run.source IS NOT DISTINCT FROM placed.source AND run.block = placed.block
 JOIN parts ON run.source IS NOT DISTINCT FROM parts.source
+""",
+    "op11_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sig
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (
+  SELECT conv_id, list(sig ORDER BY turn NULLS FIRST, sig) AS sigs, list(octet_length(encode(text)) ORDER BY turn NULLS FIRST, sig) AS bytes,
+    list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+      lambda i: [ascii(substr(CAST(conv_id AS VARCHAR), i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc
+  FROM t GROUP BY conv_id
+),
+r AS (
+  SELECT o.conv_id, list_concat(coalesce(b.sigs[1:xor(o.crc, 4294967295) % 9], []), o.sigs[xor(o.crc, 4294967295) % 9 + 1:]) AS sigs,
+    list_concat(coalesce(b.bytes[1:xor(o.crc, 4294967295) % 9], []), o.bytes[xor(o.crc, 4294967295) % 9 + 1:]) AS bytes
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+),
+p AS (SELECT conv_id, d, array_to_string(sigs[1:d], '.') AS node, array_to_string(sigs[1:d - 1], '.') AS parent, sigs[1:d] AS path, bytes[d] AS n_bytes, len(sigs) AS n
+      FROM (SELECT *, unnest(range(0, len(sigs) + 1)) AS d FROM r)),
+nodes AS (
+  SELECT node, d AS depth, any_value(CASE WHEN d > 0 THEN parent END) AS parent, any_value(path) AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * coalesce(any_value(n_bytes), 0) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends_sha256
+  FROM p GROUP BY node, d
+),
+kids AS (SELECT parent, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+up AS (SELECT array_to_string(path[1:a], '.') AS node, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+       FROM (SELECT path, saved, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, unnest(range(0, depth + 1)) AS a FROM nodes LEFT JOIN kids ON kids.parent = nodes.node)
+       GROUP BY 1)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN up ON up.node = n.node LEFT JOIN nodes q ON q.node = n.parent LEFT JOIN kids ON kids.parent = n.node
+""",
+    "op13_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """,
 }
