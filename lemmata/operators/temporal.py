@@ -186,7 +186,7 @@ def strong(trace: DataFrame, s: DataFrame, name: str) -> DataFrame:
 
 
 def weak(trace: DataFrame, s: DataFrame, alive: Column, name: str) -> DataFrame:
-    """`weak(s)`: a match exists, or the trace ends while a match could still come (`alive`)."""
+    """`weak(s)` of explicit matches: one exists, or the trace ends while one could still come (`alive`); `automaton.weak` finds that out itself."""
     return strong(trace, s, "_strong").withColumn(name, F.col("_strong") | F.coalesce(alive, F.lit(False))).drop("_strong")
 
 
@@ -208,6 +208,12 @@ def disable_iff(trace: DataFrame, s: DataFrame, reset: str) -> DataFrame:
     return throughout(trace, ~F.coalesce(F.col(reset), F.lit(False)), s)
 
 
+def clocked(trace: DataFrame, clock: str, falling: bool = False) -> DataFrame:
+    """`@(posedge clock)` (or negedge): the samples at the clock's edges as a trace of their own, ticks numbered from 0."""
+    edge = fell(F.coalesce(_c(clock), F.lit(False))) if falling else rose(F.coalesce(_c(clock), F.lit(False)))
+    return trace.withColumn("_edge", edge).where("_edge").drop("_edge").withColumn(TICK, (F.row_number().over(_key()) - 1).cast("long"))
+
+
 def agreement(trace: DataFrame, p: str, q: str) -> DataFrame:
     """Of each finite trace whether two properties agree at every tick, the first tick where not, and either implication."""
     a, b = F.col(p), F.col(q)
