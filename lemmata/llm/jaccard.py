@@ -5,13 +5,17 @@ each signature is the projection of a set on two of the three partitions of one
 differ in few features agree on at least one signature of their size band. Bands double in size; a
 set near the lower edge of its band also signs for the band below, so any two sets whose sizes allow
 the threshold share a band. Sets of up to 13 features sign by enumerating their subsets with up to
-two features removed, which finds every similar pair. Larger sets sign for 21 groups: a
-pair at the threshold agrees on a signature with probability of 0.33 or more, on about 20 of 63, and
-on fewer than three with probability below 1e-8 (the looser a band's projection, the more). Every
-candidate is verified exactly, in blocks of bounded size; nothing is capped.
+two features removed, which finds every similar pair. Larger sets sign for 21 groups, a sample of those
+that PartEnum would enumerate: a pair at the threshold agrees on a signature with probability of 0.33 or
+more, on about 20 of 63, and candidates are pairs with three. That no similar pair agrees on fewer is
+measured (412,000 simulated pairs, none did) and not proven. Every candidate is verified exactly, in
+blocks of bounded size; nothing is capped.
+
+Texts are looked up by id and hash of the text, once for each class, so rows without an id, or of
+one id, meet no other's text.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with nothing and
-is its own component; repeated rows and equal texts are one class; a null doc_id is kept and takes
+is its own component; very long texts are taken whole; repeated rows and equal texts are one class; a null doc_id is kept and takes
 part like any other (it reports the least non-null doc_id of its component, else null); further
 columns of the input are ignored. An empty table gives an empty result.
 """
@@ -33,6 +37,8 @@ from lemmata.llm._bytes import LOWER, NON_SPACE, U, list_array, mix, ngram_sets,
 GROUPS, TINY, LEAST = 21, 13, 12
 #: features that a projection holds at a band's lower edge
 HELD = 2.5
+#: stands for a null id where the texts of classes are looked up
+NO_ID = (1 << 63) - 1
 
 
 def _salt(*xs: int) -> np.ndarray:
@@ -124,7 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             total = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ U(0xA5A5A5A5A5A5A5A5)), dtype=U)])
             name = signed(mix(total[at[1:]] - total[at[:-1]] + sizes.astype(U)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(w.lo, w.hi - w.lo), pa.array(sizes), pa.array(name), list_array(signed(sig), sig_at)], ["doc_id", "n_shingles", "node", "sigs"]
+                [*[b.column(k).slice(w.lo, w.hi - w.lo) for k in (0, 2)], pa.array(sizes), pa.array(name), list_array(signed(sig), sig_at)], ["doc_id", "h", "n_shingles", "node", "sigs"]
             )
 
 
@@ -142,17 +148,22 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
     """The rows of `jaccard_join` with the name of each row's set (node) and of its component (root)."""
     if percent < 80:
         raise ValueError("the signatures hold for thresholds of 80 percent or more")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = _graph.cut(docs.mapInArrow(partial(_sign, n=n), "doc_id long, n_shingles long, node long, sigs array<long>"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    base = _graph.cut(docs.mapInArrow(partial(_sign, n=n), "doc_id long, h long, n_shingles long, node long, sigs array<long>"))
     some = base.where("n_shingles > 0")
-    classes = _graph.cut(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("items")))
+    # a class is represented by one text: ids may be null or come again, an id and a text's hash name the text
+    at = F.coalesce("doc_id", F.lit(NO_ID))
+    look = F.min(F.struct(at.alias("at"), "h"))
+    classes = _graph.cut(some.groupBy("node").agg(F.min("doc_id").alias("rep"), look.alias("look"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("items")))
 
     keys = _graph.shared(some, "node", "sigs").groupBy("node").agg(F.collect_set("key").alias("keys"))
     # a similar pair shares three signatures; sets of up to 13 features one
     likely = keys.where((F.size("keys") >= 3) | F.exists("keys", lambda k: k.bitwiseAND(F.lit(1)) == 1))
     candidates = _graph.components(_graph.shared(likely, "node", "keys", stars=True))
-    chosen = candidates.join(classes, "node").select("node", "root", "rep", "copies", "items")
-    blocks = _graph.in_blocks(_graph.cut(chosen)).join(docs, F.col("rep").eqNullSafe(F.col("doc_id")))
+    chosen = _graph.cut(candidates.join(classes, "node").select("node", "root", "look", "copies", "items"))
+    named = docs.withColumn("at", at).join(chosen.select("node", "look.at", "look.h"), ["at", "h"])
+    texts = named.groupBy("node").agg(F.min("text").alias("text"))
+    blocks = _graph.in_blocks(chosen.drop("look")).join(texts, "node")
     linked = _graph.cut(_graph.verify(blocks, partial(shingle_sets, n=n), percent, stamp))
 
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
