@@ -80,9 +80,13 @@ def examples(rows: DataFrame, reason: str, key: str, text: str, n: int) -> DataF
 
 
 def census(found: DataFrame, op: str, doc: str, pos: str, example: str) -> DataFrame:
-    """Occurrences of each operator, documents that hold it, and its shortest example (the earliest of equals)."""
-    best = F.min(F.struct(F.length(example).alias("len"), F.col(doc), F.col(pos), F.col(example)))
-    return found.groupBy(op).agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct(doc).alias("containing"), best.getField(example).alias("example"))
+    """Occurrences of each operator, documents that hold it, and its shortest example (the earliest of equals).
+
+    One row for each document and operator first, so documents are counted without a distinct over all occurrences.
+    """
+    best = F.min(F.struct(F.length(example).alias("len"), F.col(doc).alias("_doc"), F.col(pos).alias("_pos"), F.col(example).alias("_text"))).alias("_best")
+    each = found.groupBy(op, doc).agg(F.count(F.lit(1)).alias("_n"), best)
+    return each.groupBy(op).agg(F.sum("_n").alias("occurrences"), F.count(doc).alias("containing"), F.min("_best")["_text"].alias("example"))
 
 
 def arity(rows: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmata.operators import patterns
+
 
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -60,32 +62,17 @@ def islands(rows: DataFrame, part: list[str], order: str, flag: str) -> DataFram
     return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(w)).drop("_new")
 
 
-#: operators that are matched as literals of the plan; a larger table is joined row by row
-LITERALS = 2_000
-
-
-def _matched(left: DataFrame, right: DataFrame, op: str, hit) -> DataFrame:
-    """Rows of `left` with each operator of `right` that they match; one pass over `left` for a small table."""
-    found = [r[0] for r in right.select(op).where(F.col(op).isNotNull()).distinct().limit(LITERALS + 1).collect()]
-    if len(found) > LITERALS:
-        return left.join(right, hit(F.col(op)))
-    if not found:
-        return left.join(right, F.lit(False))
-    each = F.array_compact(F.array(*[F.when(hit(F.lit(x)), F.lit(x)) for x in sorted(found)]))
-    return left.withColumn(op, F.explode(each)).join(F.broadcast(right), op)
-
-
-def contains_join(left: DataFrame, text: str, right: DataFrame, op: str, exact: bool = False) -> DataFrame:
-    """Rows whose text contains an operator; exact: as a whole token."""
+def contains_join(left: DataFrame, text: str, right: DataFrame, op: str, exact: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Rows (their columns `keep`, default all) whose text contains an operator; exact: as a whole token."""
     if exact:
         token = left.withColumn("_tok", F.explode(F.array_distinct(F.split(text, r"\s+"))))
-        return token.join(right, F.col("_tok") == F.col(op)).drop("_tok")
-    return _matched(left, right, op, lambda x: F.contains(F.col(text), x))
+        return token.join(right, F.col("_tok") == F.col(op)).select(*(keep or left.columns), *right.columns)
+    return patterns.contained(left, text, right, op, keep)
 
 
-def regex_join(left: DataFrame, text: str, rules: DataFrame, pattern: str) -> DataFrame:
-    """Rows whose text matches a rule's regular expression."""
-    return _matched(left, rules, pattern, lambda x: F.regexp_like(F.col(text), x))
+def regex_join(left: DataFrame, text: str, rules: DataFrame, pattern: str, keep: list[str] | None = None) -> DataFrame:
+    """Rows (their columns `keep`, default all) whose text matches a rule's regular expression."""
+    return patterns.matched(left, text, rules, pattern, keep)
 
 
 def embed(text, dim: int = 16) -> Column:

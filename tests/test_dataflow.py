@@ -51,14 +51,6 @@ def test_numbered_takes_any_number(spark):
     assert curate.numbered(spark.createDataFrame([], "k long"), "k").count() == 0
 
 
-def test_large_operator_tables_are_joined(spark, monkeypatch):
-    left = spark.createDataFrame([("a##1 b",), ("c",), (None,)], "t string")
-    ops = spark.createDataFrame([("##",), ("b",), ("z",), (None,)], "op string")
-    small = sorted((r["t"], r["op"]) for r in retrieval.contains_join(left, "t", ops, "op").collect())
-    monkeypatch.setattr(retrieval, "LITERALS", 1)
-    assert small == sorted((r["t"], r["op"]) for r in retrieval.contains_join(left, "t", ops, "op").collect()) == [("a##1 b", "##"), ("a##1 b", "b")]
-
-
 def test_bodies_and_turns_of_odd_shape(spark):
     body = lambda t: spark.range(1).select(X.property_body(F.lit(t))).first()[0]
     assert body("l: assert property (@(negedge clk) disable iff (r) a |-> b) ;") == "a |-> b"
