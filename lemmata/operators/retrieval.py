@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmata.operators import patterns
+from lemmata.operators import nearest, patterns
 
 
 def dot(a, b) -> Column:
@@ -22,15 +22,8 @@ def norm(a) -> Column:
 
 
 def topk(queries: DataFrame, rows: DataFrame, k: int, measure: str = "dot") -> DataFrame:
-    """The k best rows (id, vec) of each query (qid, qvec); ties to the smaller id.
-
-    Ranks inside each partition before anything is shuffled (`WindowGroupLimit`).
-    """
-    score = dot("qvec", "vec") if measure == "dot" else F.sqrt(squared_distance("qvec", "vec"))
-    order = F.desc("score") if measure == "dot" else F.asc("score")
-    scored = rows.join(queries).select("qid", "id", score.alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(order, "id")))
-    return ranked.where(F.col("rank") <= k)
+    """The k best rows (id, vec) of each query (qid, qvec); ties to the smaller id. Exact, by an index made for the call (`nearest`)."""
+    return nearest.topk(queries, nearest.build(rows), k, measure)
 
 
 def mean_pool(tokens: DataFrame, key: str, vec: str, mask: str) -> DataFrame:
