@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lemmata.functions import text as X
-from lemmata.operators import curate
+from lemmata.operators import carry, curate
 
 CHAT = "messages array<struct<role:string,content:string>>"
 INSTRUCTION = "instruction string, input string, output string"
@@ -21,16 +21,67 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType) ->
     return spark.read.schema(schema).json(path, multiLine=bool(first and first["c"] == "["))
 
 
+def _placed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with their file, its split and their place in it, and of each split what stands before it in its file."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    rows = raw.select("value", *meta, F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = splits.select("file", "split", "first", "n", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "bytes")])
+    files = splits.groupBy("file").agg(F.sum("n").alias("_n"))  # one row a file
+    files = files.select("file", F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("files_before"))
+    return rows, ahead.join(files, "file")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, value) of a text in file order: file, then position, numbered without one global sort."""
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("idx", T.LongType())])
-    return spark.createDataFrame(spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), schema).select("idx", "value")
+    """(file, line, idx, value) of texts: the line's number in its file and over all files in the order of their names, from 0.
+
+    Numbers come from a count of each split's lines, so files are read in splits and nothing is sorted. Lines end with a line
+    feed; a carriage return before it is dropped.
+    """
+    rows, ahead = _placed(spark, path)
+    line = F.col("at") - F.col("first") + F.col("n_before")
+    return rows.join(ahead, ["file", "split"]).select("file", line.alias("line"), (line + F.col("files_before")).alias("idx"), F.regexp_replace("value", r"\r$", "").alias("value"))
+
+
+def line_index(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, file, line, offset, n_bytes): where each line of texts begins. Written sorted by idx (`write_index`), a lookup reads one row group."""
+    rows, ahead = _placed(spark, path)
+    here = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sized = rows.select("file", "split", "at", F.octet_length("value").cast("long").alias("n_bytes"))
+    sized = sized.withColumn("_inside", F.coalesce(F.sum(F.col("n_bytes") + 1).over(here), F.lit(0)))
+    line = F.col("at") - F.col("first") + F.col("n_before")
+    return sized.join(ahead, ["file", "split"]).select((line + F.col("files_before")).alias("idx"), "file", line.alias("line"), (F.col("bytes_before") + F.col("_inside")).alias("offset"), "n_bytes")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    index.repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").parquet(path)
+
+
+def read_record(spark: SparkSession, index: DataFrame, idx: int) -> str:
+    """One line by its number: a lookup in the index, then one range of one file."""
+    at = lookup(index, "idx", idx).first()
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(at["file"]))
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        stream.seek(at["offset"])
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, at["n_bytes"])).decode().removesuffix("\r")
+    finally:
+        stream.close()
+
+
+def slice_rows(rows: DataFrame, start: int = 0, limit: int | None = None, order: str = "idx") -> DataFrame:
+    """The rows numbered start to start + limit (exclusive; no limit: to the end), by a filter on their number."""
+    some = rows.where(F.col(order) >= start)
+    return some if limit is None else some.where(F.col(order) < start + limit)
 
 
 def read_indexed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with the number of their physical line; blank and broken lines are left out, numbers stay."""
     lines = read_lines(spark, path).where(F.trim("value") != "")
-    return lines.withColumn("r", F.from_json("value", schema)).where("r is not null").select("idx", "r.*")
+    return lines.select("idx", F.from_json("value", schema).alias("r")).where("r is not null").select("idx", "r.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -84,24 +135,22 @@ def read_reports(spark: SparkSession, glob: str) -> DataFrame:
     return lines.select("path", X.report_row("value").alias("r")).where("r is not null").select("path", "r.*")
 
 
-def statements(lines: DataFrame) -> DataFrame:
-    """Statements of a batch file (idx, value): comments skipped, lines joined up to the one that ends in `;`."""
+def statements(lines: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
+    """Statements of batch files (`part`, idx, value): comments skipped, lines joined up to the one that ends in `;`; (`part`, statement, words)."""
     live = lines.where((F.trim("value") != "") & ~F.startswith(F.ltrim("value"), F.lit("#")))
-    ends = F.endswith(F.rtrim("value"), F.lit(";")).cast("int")
-    w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)  # one file of statements
-    grouped = live.withColumn("statement", F.coalesce(F.sum(ends).over(w), F.lit(0)))
+    grouped = carry.count_before(live, part, "idx", F.endswith(F.rtrim("value"), F.lit(";")), "statement")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.trim("value").alias("v")))), lambda x: x["v"]), " ")
     text = F.regexp_replace(joined, r";\s*$", "")
-    return grouped.groupBy("statement").agg(F.filter(F.split(text, r"\s+"), lambda x: x != "").alias("words"))
+    return grouped.groupBy(*part, "statement").agg(F.filter(F.split(text, r"\s+"), lambda x: x != "").alias("words"))
 
 
-def errors(lines: DataFrame) -> DataFrame:
-    """(idx, message, file, line): each error line with the first place named at or after it."""
-    place = F.regexp_extract("value", r'"([^"]+)",\s*(\d+)', 1)
+def errors(lines: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
+    """(`part`, idx, message, file, line): each error line of logs with the first place named at or after it in its log."""
+    named = F.regexp_extract("value", r'"([^"]+)",\s*(\d+)', 1)
     row = F.regexp_extract("value", r'"([^"]+)",\s*(\d+)', 2)
-    w = Window.orderBy("idx").rowsBetween(0, Window.unboundedFollowing)  # one log
-    seen = lines.withColumn("f", F.first(F.when(place != "", place), True).over(w)).withColumn("l", F.first(F.when(row != "", row.cast("int")), True).over(w))
-    return seen.where(F.col("value").rlike("^Error")).select("idx", F.col("value").alias("message"), F.col("f").alias("file"), F.col("l").alias("line"))
+    place = F.when(named != "", F.struct(named.alias("file"), row.cast("int").alias("line")))
+    seen = carry.next_value(lines, part, "idx", place, "_place")
+    return seen.where(F.col("value").rlike("^Error")).select(*part, "idx", F.col("value").alias("message"), "_place.file", "_place.line")
 
 
 def comment_out(source: DataFrame, bad: DataFrame) -> DataFrame:
