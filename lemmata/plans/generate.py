@@ -10,6 +10,7 @@ import hashlib
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lemmata.functions import text as X
 from lemmata.operators import retrieval
+from lemmata.session import cut
 
 
 class Completer(Protocol):
@@ -161,39 +163,57 @@ def routed(queries: DataFrame, stores: dict[str, DataFrame], key: str, k: int =
     return out
 
 
-def verify_loop(rows: DataFrame, column: str, check: Callable[[Column], Column], correct: Callable[[DataFrame, str], DataFrame], rounds: int = 2) -> DataFrame:
-    """Rows with `ok` and `tries`: what fails the check is corrected (a new value of the column) and checked again, at most `rounds` times."""
+def verify_loop(rows: DataFrame, column: str, check: Callable[[Column], Column], correct: Callable[[DataFrame, str], DataFrame], rounds: int = 2, feedback: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows with `ok` and `tries`: what fails the check is corrected (a new value of the column) and checked again, at most `rounds` times.
+
+    feedback: what is told of a failed value; `correct` finds it in the column `feedback`. Each round is written before the
+    next begins, so nothing is completed twice and the plan does not grow.
+    """
     good = lambda: F.coalesce(check(F.col(column)), F.lit(False))
-    rows = rows.withColumn("ok", good()).withColumn("tries", F.lit(1))
+    rows = cut(rows.withColumn("ok", good()).withColumn("tries", F.lit(1)))
     names = rows.columns
     for _ in range(rounds):
-        again = correct(rows.where("not ok"), column).withColumn("ok", good()).withColumn("tries", F.col("tries") + 1)
-        rows = rows.where("ok").unionByName(again.select(names))
+        bad = rows.where("not ok")
+        if bad.isEmpty():
+            break
+        told = bad if feedback is None else bad.withColumn("feedback", feedback(F.col(column)))
+        again = correct(told, column).withColumn("ok", good()).withColumn("tries", F.col("tries") + 1)
+        rows = cut(rows.where("ok").unionByName(again.select(names)))
     return rows
 
 
-def walk_down(found: DataFrame, pieces: DataFrame, split: Callable[[Column, Column], Column], levels: int = 64) -> DataFrame:
-    """(key, node_id, piece): the root has its tree's piece (key, piece), a child what `split` makes of its parent's piece and its own code."""
-    front = found.where("parent_id is null").join(pieces, "key").select("key", "node_id", "piece")
-    out = front
-    inner = found.where("parent_id is not null").select("key", "node_id", "parent_id", "code")
-    for _ in range(levels):
+def walk_down(found: DataFrame, pieces: DataFrame, split: Callable[[Column, Column], Column]) -> DataFrame:
+    """(key, node_id, piece): the root has its tree's piece (key, piece), a child what `split` makes of its parent's piece and its own code.
+
+    Level by level down to the deepest, each level written before the next: a piece depends on all those above it. Nodes that
+    no root leads to have no piece.
+    """
+    front = cut(found.where("parent_id is null").join(pieces, "key").select("key", "node_id", "piece"))
+    inner = cut(found.where("parent_id is not null").select("key", "node_id", "parent_id", "code"))
+    levels = [front]
+    while True:
         up = front.select("key", F.col("node_id").alias("parent_id"), F.col("piece").alias("_piece"))
-        front = inner.join(up, ["key", "parent_id"]).select("key", "node_id", split(F.col("_piece"), F.col("code")).alias("piece"))
+        front = cut(inner.join(up, ["key", "parent_id"]).select("key", "node_id", split(F.col("_piece"), F.col("code")).alias("piece")))
         if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out
-
-
-def fix_until_clean(source: DataFrame, report: Callable[[DataFrame], DataFrame], comment: Callable[[DataFrame, DataFrame], DataFrame], rounds: int = 8) -> DataFrame:
-    """Lines that a report (file, line) names are commented out, until it names none or the rounds are over."""
-    for _ in range(rounds):
-        bad = report(source)
-        if bad.isEmpty():
-            break
-        source = comment(source, bad)
-    return source
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(front)
+
+
+def fix_until_clean(source: DataFrame, report: Callable[[DataFrame], DataFrame], comment: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Lines that a report (file, line) names are commented out, until it names none.
+
+    Each round is written before the next. A report that names the same lines twice in a row is an error: they are not in
+    the source, or commenting them out does not help.
+    """
+    before = None
+    while True:
+        bad = cut(report(source).select("file", "line").distinct())
+        n = bad.count()
+        if not n:
+            return source
+        if before is not None and before.count() == n and bad.exceptAll(before).isEmpty():
+            raise RuntimeError(f"a round changed nothing: {n} lines are still reported, {bad.first().asDict()} among them")
+        source, before = cut(comment(source, bad)), bad
 
 
 def assistant_turn(restated, decomposition, merge, sva) -> Column:

@@ -309,8 +309,8 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_LINES_SQL}, c AS (SELECT idx, {' + '.join(f"CAST(regexp_matches(sva, '{p}') AS INTEGER)" for p in X.CODE_PATTERNS)} AS n, {' OR '.join(f"regexp_matches(sva, '{p}')" for p in X.PROSE_PATTERNS)} AS prose FROM v)
-SELECT idx, n AS hits, prose, n >= 2 OR (n >= 1 AND NOT prose) AS code, CASE WHEN n >= 2 OR (n >= 1 AND NOT prose) THEN 'code' ELSE 'text' END AS store FROM c""")
+@query(f"""WITH {_LINES_SQL}, c AS (SELECT idx, {' + '.join(f"CAST(regexp_matches(sva, '{p}') AS INTEGER)" for p in X.CODE_PATTERNS)} AS n, {' OR '.join(f"regexp_matches(sva, '{p}')" for p in X.PROSE_PATTERNS)} AS prose, {' + '.join(f"CAST(regexp_matches(sva, '{p}') AS INTEGER)" for p in X.ASSERTION_PATTERNS)} AS sure FROM v)
+SELECT idx, n AS hits, prose, sure >= 2 OR n >= 2 OR (n >= 1 AND NOT prose) AS code, CASE WHEN sure >= 2 OR n >= 2 OR (n >= 1 AND NOT prose) THEN 'code' ELSE 'text' END AS store FROM c""")
 def code_or_prose(spark: SparkSession, sf: str) -> DataFrame:
     code = X.is_code("sva")
     return _assertions(spark, sf).select("idx", X.pattern_hits("sva").alias("hits"), X.is_prose("sva").alias("prose"), code.alias("code"), F.when(code, "code").otherwise("text").alias("store"))
@@ -625,4 +625,4 @@ def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).count().groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-from lemmata import queries_more, queries_patterns, queries_sequences  # noqa: E402, F401  (register their queries here)
+from lemmata import queries_lines, queries_more, queries_patterns, queries_sequences  # noqa: E402, F401  (register their queries here)

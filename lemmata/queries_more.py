@@ -109,9 +109,28 @@ def fenced_block_lists(spark: SparkSession, sf: str) -> DataFrame:
     return _assertions(spark, sf).select("idx", F.size(held).alias("n"), F.array_join(held, "|").alias("held"))
 
 
-@query(f"""WITH {_LINES_SQL} SELECT idx, regexp_matches(response, '\\bmodule\\b|\\bassert\\b|\\bposedge\\b|\\bassign\\b|##\\d') AS code, regexp_matches(response, '\\?\\s*$|^(what|how|why)\\b') AS asks FROM v""")
+#: texts that a detector tells apart, by p_size % 12
+_ASKED = """CASE p_size % 12 WHEN 0 THEN 'input a;' WHEN 1 THEN 'always @(x) y;' WHEN 2 THEN 'show me a circuit' WHEN 3 THEN 'WRITE it' WHEN 4 THEN 'assign y' WHEN 5 THEN 'what is a clock?' WHEN 6 THEN 'always x ##2 y'
+ WHEN 7 THEN 'endmodule' WHEN 8 THEN 'modules' WHEN 9 THEN 'SystemVerilog' WHEN 10 THEN 'in Verilog' ELSE 'assert it at the posedge' END"""
+
+
+@query(f"""SELECT p_partkey, p_size % 12 IN (0, 1, 4, 7) AS code, p_size % 12 IN (0, 1, 2, 3, 4, 7, 10) AS asks FROM part""")
 def simple_detectors(spark: SparkSession, sf: str) -> DataFrame:
-    return _assertions(spark, sf).select("idx", X.any_pattern("response", X.SIMPLE_CODE).alias("code"), X.any_pattern("response", X.SIMPLE_QUERY).alias("asks"))
+    return _rows(spark, sf, "part", t=_ASKED).select("p_partkey", X.simple_code("t").alias("code"), X.asks_for_code("t").alias("asks"))
+
+
+#: lines that code and prose share, by p_size % 10: code patterns, whether prose, whether code
+_MIXED = {
+    "the module is good": (1, True, False), "wire w": (1, False, True), "if the bit is set": (2, True, True), "it is 5": (0, True, False), "assert property (a |-> b) for the best": (3, True, True),
+    "x |-> y @ (posedge clk)": (1, False, True), "Good Words": (0, True, False), "plain words": (0, False, False), "begin x <= y; end": (2, False, True), "say: a |-> b, assert property (c); Yes": (2, False, True),
+}
+_LINE = "CASE p_size % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_MIXED)) + " END"
+
+
+@query("WITH m(k, hits, prose, code) AS (VALUES " + ", ".join(f"({i}, {n}, {p}, {c})" for i, (n, p, c) in enumerate(_MIXED.values())) + ") SELECT p_partkey, hits, prose, code, CASE WHEN code THEN 'code' ELSE 'text' END AS store FROM part JOIN m ON k = p_size % 10")
+def detected_stores(spark: SparkSession, sf: str) -> DataFrame:
+    code = X.is_code("t")
+    return _rows(spark, sf, "part", t=_LINE).select("p_partkey", X.pattern_hits("t").alias("hits"), X.is_prose("t").alias("prose"), code.alias("code"), F.when(code, "code").otherwise("text").alias("store"))
 
 
 @query("""SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN NULL ELSE lower(event_type) || json_extract_string(props, '$.k') END AS picked, map_keys(map_from_entries(list_filter([{'k': event_type, 'v': 1}, {'k': 'k', 'v': 2}], lambda e: contains(e.k, 'c')))) AS kept FROM events""")
@@ -423,7 +442,7 @@ def comment_fixpoint(spark: SparkSession, sf: str) -> DataFrame:
     hit = F.col("l_linenumber").isin(2, 5)
     source = rows.select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 1000 + F.col("l_suppkey")).alias("line"), F.when(hit & (F.col("p") % 2 == 0), "bad").when(hit, "odd").otherwise("fine").alias("value"))
     report = lambda now: now.where("value = 'bad'").groupBy("file").agg(F.min("line").alias("line"))
-    return generate.fix_until_clean(source, report, records.comment_out, 16)
+    return generate.fix_until_clean(source, report, records.comment_out)
 
 
 @query(f"""WITH {_TRACE_SQL} SELECT trace_id, bool_and(a = b) AS agree, min(tick) FILTER (a <> b) AS counterexample, bool_and(NOT a OR b) AS a_implies_b, bool_and(NOT b OR a) AS b_implies_a FROM tr GROUP BY trace_id""")
@@ -491,11 +510,11 @@ def cleaned_pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", X.cleanup(page).alias("cleaned"), X.indent(split, "  ").alias("indented"), X.percent(F.col("p_size") / 100).alias("share"), F.array_join(X.tail_lines(page, 1), "|").alias("last_lines"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Set |C:assign y =|T: ' || p_name ELSE 'T:' || p_name END AS parts FROM (SELECT *, 1 AS k FROM part)""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'T:Set |C:assign y =|T: ' || p_name ELSE 'T:' || p_name END AS parts FROM (SELECT *, 1 AS k FROM part)""")
 def mixed_lines(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Set assign y = "), "p_name")).otherwise(F.col("p_name"))
     shown = F.array_join(F.transform(blocks.mixed_segments(line), lambda s: F.concat(F.when(s["is_code"], "C:").otherwise("T:"), s["text"])), "|")
-    return table(spark, sf, "part").select("p_partkey", F.regexp_replace(shown, "^T:Set ", "Set ").alias("parts"))
+    return table(spark, sf, "part").select("p_partkey", shown.alias("parts"))
 
 
 # ---------------------------------------------------------------- sources over lines
