@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmata.session import cut
+
 
 def seeded(seed: int, key) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -15,6 +17,14 @@ def sample_n(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return rows.orderBy(seeded(seed, key), key).limit(n).orderBy(key)
 
 
+def sample_exact(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """As `sample_n`, and an error where the pool has fewer than n rows."""
+    held = rows.limit(n).count()
+    if held < n:
+        raise ValueError(f"the pool holds {held} rows, {n} are asked for")
+    return sample_n(rows, n, key, seed)
+
+
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
@@ -41,14 +51,15 @@ def numbered(rows: DataFrame, key: str, part: tuple[str, ...] = (), then: tuple[
     Rows are dealt into ranges of the key by its quantiles; a window covers one range, and ranges are
     put together by their counts, at most `buckets` for each part.
     """
+    rows = cut(rows)  # read three times: quantiles, counts, numbers
     bounds = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     marks = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    cut = rows.withColumn("_b", F.size(F.filter(marks, lambda b: b <= F.col(key))))
-    cut = cut.withColumn("_b", F.when(F.col(key).isNull(), -1).otherwise(F.col("_b")))
-    sizes = cut.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = rows.withColumn("_b", F.size(F.filter(marks, lambda b: b <= F.col(key))))
+    dealt = dealt.withColumn("_b", F.when(F.col(key).isNull(), -1).otherwise(F.col("_b")))
+    sizes = dealt.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
-    inside = cut.withColumn("_i", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(key, *then)))
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(key, *then)))
     return inside.join(F.broadcast(before) if not part else before, [*part, "_b"]).withColumn("n", (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before")
 
 
@@ -89,6 +100,40 @@ def census(found: DataFrame, op: str, doc: str, pos: str, example: str) -> DataF
     return each.groupBy(op).agg(F.sum("_n").alias("occurrences"), F.count(doc).alias("containing"), F.min("_best")["_text"].alias("example"))
 
 
+def shares(rows: DataFrame, by: str, count: str) -> DataFrame:
+    """(by, n, share): the sum of a count for each group, and its part of all."""
+    n = rows.groupBy(by).agg(F.sum(count).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a group
+
+
+def least(rows: DataFrame, by: str, value: str, k: int) -> DataFrame:
+    """(by, least): the k least distinct values of each group, by k minima; nothing is gathered but these."""
+    found, rest = None, rows.select(by, value).where(F.col(value).isNotNull())
+    for _ in range(k):
+        one = cut(rest.groupBy(by).agg(F.min(value).alias("_least")))
+        found = one if found is None else found.unionByName(one)
+        at = one.withColumnRenamed(by, "_by")
+        rest = rest.join(F.broadcast(at), F.col(by).eqNullSafe(F.col("_by")) & (F.col(value) > F.col("_least"))).select(by, value)
+    listed = found.groupBy(by).agg(F.array_sort(F.collect_list("_least")).alias("least"))
+    return rows.select(by).distinct().join(listed.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").select(by, F.coalesce("least", F.array().cast(rows.select(F.array(value)).schema[0].dataType)).alias("least"))
+
+
+def golden_counts(dictionary, prefix: str = "Assertion ") -> Column:
+    """How many entries of a JSON dictionary are assertions, by their names; other keys, however many, don't count."""
+    return F.coalesce(F.size(F.filter(F.json_object_keys(dictionary), lambda k: F.startswith(k, F.lit(prefix)))), F.lit(0))
+
+
+def design_scores(report: DataFrame, golden: DataFrame, part: str, order: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """(part, golden, sc, fc, fm): after a design's golden rows, every two rows are a candidate and its mirror.
+
+    sc: candidates; fc, fm: proven candidates and mirrors. golden: (part, golden), 0 for a design without one.
+    """
+    at = numbered(report, order, (part,), then).join(F.broadcast(golden), part, "left").withColumn("golden", F.coalesce("golden", F.lit(0)))
+    after = F.col("n") - 1 - F.col("golden")
+    good = (after >= 0) & (F.col("result") == "proven")
+    return at.groupBy(part, "golden").agg(F.floor((F.count(F.lit(1)) - F.first("golden")) / 2).alias("sc"), F.count_if(good & (after % 2 == 0)).alias("fc"), F.count_if(good & (after % 2 == 1)).alias("fm"))
+
+
 def arity(rows: DataFrame, column: str) -> DataFrame:
     """Histogram of an array column's sizes with every count from 0 to the largest, with their mean."""
     counted = rows.groupBy(F.size(column).alias("arity")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from lemmata.operators import blocks, curate, retrieval
 from lemmata.operators import temporal as E
 from lemmata.plans import generate, sva
 from lemmata.queries import _LINES_SQL, _OPS, _OPS_SQL, _PAIRS, _SHAPES_SQL, _SVA, _TRACE_SQL, _assertions, _trace, query
-from lemmata.session import table
+from lemmata.session import cut, table
 from lemmata.sources import records
 
 
@@ -305,11 +305,8 @@ SELECT n.status AS status, n, round(n / (SELECT count(*) FROM s), 6) AS share, e
 def parser_report(spark: SparkSession, sf: str) -> DataFrame:
     texts = _assertions(spark, sf).groupBy("sva").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64("sva"))
     got = texts.join(sva.trees(texts, "key", "sva", ("n_nodes",)).select("key", "status"), "key")
-    first = Window.partitionBy("status").orderBy("sva")
-    marked = got.withColumn("r", F.row_number().over(first))
-    total = got.agg(F.sum("n")).first()[0] or 1
-    out = marked.groupBy("status").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= 2, F.col("sva")))).alias("e"))
-    return out.select("status", "n", F.round(F.col("n") / total, 6).alias("share"), F.array_join("e", "~").alias("examples"))
+    got = cut(got)
+    return curate.shares(got, "status", "n").join(curate.least(got, "status", "sva", 2), "status").select("status", "n", F.round("share", 6).alias("share"), F.array_join("least", "~").alias("examples"))
 
 
 @query(f"""WITH {_LINES_SQL} SELECT DISTINCT idx, 'macro__W' || idx % 3 || ' |-> macro__K' AS plain, '`W' || idx % 3 || ' |-> `K' AS again FROM v""")
@@ -366,7 +363,8 @@ SELECT style, t.sva AS sva, md5(replace(a, '{{context}}', coalesce(context, ''))
 def prompt_styles(spark: SparkSession, sf: str) -> DataFrame:
     rows = _assertions(spark, sf).select("sva").distinct()
     ops = spark.createDataFrame([(o,) for o in _OPS], "op string")
-    hits = retrieval.contains_join(rows, "sva", ops, "op").select("sva", F.col("op").alias("content"), F.col("op").alias("rank"))
+    rows = cut(rows)
+    hits = cut(retrieval.contains_join(rows, "sva", ops, "op").select("sva", F.col("op").alias("content"), F.col("op").alias("rank")))
     out = None
     for style, template in generate.TEMPLATES.items():
         one = generate.stuff(rows, hits, "sva", template).select(F.lit(style).alias("style"), "sva", F.md5("prompt").alias("prompt"))
