@@ -60,7 +60,8 @@ STAGES = [
     ("token-ID output", token_files),
 ]
 
-#: the model and the tokenizer are not expressible in SQL; tests/llm/test_pipeline.py holds the stages against brute force
+#: the model and the tokenizer are not expressible in SQL; tests/llm/test_pipeline.py holds near duplicates, decontamination and token files
+#: against brute force, and toxicity and mixing against the scores and uses that their operators give (tested on their own)
 ORACLE_SQL = None
 
 

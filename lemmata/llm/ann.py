@@ -15,7 +15,8 @@ cluster shares, and a task builds its shard's forest once and reads block after
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those whose length is not the most frequent one (of equals the smaller); of rows that share a
 vec_id each is a candidate of other queries, and the first by content is the query; a null vec_id is
-no query and no candidate; further columns are ignored. Fewer candidates than k give fewer rows.
+no query and no candidate; candidates at equal distances are ranked by vec_id, the smaller first; further columns, whatever
+their names, are ignored. Fewer candidates than k give fewer rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ item is binary-searched in every shard; the range of training suffixes that shar
 the occurrences, and comparison with the neighbouring suffixes beyond the window the longest verbatim
 match and its place.
 
-Defined cases: null, empty and wordless texts have no words and hit nothing; an item of fewer words
+Defined cases: null, empty and wordless texts have no words and hit nothing; very long texts and items are taken whole; an item of fewer words
 than the window is searched as a whole, one without words never; repeated rows are judged each on
 its own; a null item_id is left out of the list of items, though its windows count as hits; further
 columns are kept by `decontaminate` and ignored by `matches`. Empty tables give empty results, and

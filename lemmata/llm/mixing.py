@@ -11,7 +11,7 @@ of all rows is spread over its blocks and no window covers more than one block's
 
 Defined cases: tokens are the maximal runs of characters other than ASCII white space; null and empty
 texts have none; a source without tokens gets weight 0 and each of its documents is used once; the
-null source is a source; repeated rows (doc_id and text) are used each, all as often; a null doc_id is hashed as the empty string;
+null source is a source; very long texts are counted whole; repeated rows (doc_id and text) are used each, all as often; a null doc_id is hashed as the empty string;
 further columns are ignored by `mix` and kept by `apply_mix`. An empty table gives an empty result.
 """
 

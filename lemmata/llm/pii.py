@@ -16,7 +16,7 @@ linear on long runs.
 
 Defined cases: a null text is an empty one and has no spans; a null doc_id is kept; rows that repeat
 doc_id and text get the same spans; characters U+0001 are read as U+0002, which no pattern matches;
-further columns are ignored. An empty table gives an empty result.
+very long texts are walked whole, in blocks; further columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
-"""Token counts of fields or sections, from one encoding of the whole document.
+"""Token counts of fields or sections, attributed by the offsets of a document's tokens.
 
-Each whole text is encoded once; token character spans are interval-joined to the text's sections
+Each text is encoded once, whole or, where the vocabulary drops white space, by the parts between it, which gives the same
+tokens (`tokenize`); token character spans are interval-joined to the text's sections
 (sorted, disjoint character ranges) inside the task that holds the text. A token counts for exactly
 one section: the one that holds most of its characters, and of equals the first. Tokens with no
 character in any section count for none.
@@ -8,7 +9,7 @@ character in any section count for none.
 The default sections are the text's lines, each with its newline. Characters are code points.
 
 Defined cases: a null or empty text has one section 0 of no tokens when sections are lines, and none
-when sections are given and null or empty; repeated rows are counted each; a null doc_id is kept;
+when sections are given and null or empty; very long texts are taken whole; repeated rows are counted each; a null doc_id is kept;
 sections that overlap or run backwards raise an error; further columns are ignored.
 """
 

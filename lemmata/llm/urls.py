@@ -13,7 +13,7 @@ lend their weight to shorter ones.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and fits no rule; null and
 empty URLs score 0; without labelled URLs of both kinds every score and the threshold are 0; a score
-at the threshold allows; repeated rows are judged each; further columns are ignored.
+at the threshold allows; repeated rows are judged each, all alike; very long URLs are scored whole; further columns are ignored.
 """
 
 from __future__ import annotations
