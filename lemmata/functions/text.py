@@ -374,9 +374,17 @@ def equivalent(log) -> Column:
     return ~F.contains(_c(log), F.lit("syntax error")) & F.contains(_c(log), F.lit("Full equivalence"))
 
 
-def truncated(completion, n_tokens, cap: int, close: str = "</think>") -> Column:
-    """Whether a completion ran into its cap: as many tokens, and its reasoning never closed."""
-    return (_c(n_tokens) >= cap) & ~F.contains(_c(completion), F.lit(close))
+def truncated(completion, n_tokens, cap: int, close: str = "</think>", finish=None) -> Column:
+    """Whether a completion ran into its cap: its finish reason says so (where one is given), else as many tokens, and its reasoning never closed."""
+    ran = (_c(n_tokens) >= cap) & ~F.contains(F.coalesce(_c(completion), F.lit("")), F.lit(close))
+    return ran if finish is None else F.coalesce(_c(finish) == "length", ran)
+
+
+def explanations_of(dictionary) -> Column:
+    """Map from each entry of a JSON dictionary of assertions to its explanation; entries without one are left out."""
+    held = F.from_json(_c(dictionary), "map<string, struct<`Assertion Explaination`: string>>")
+    said = F.transform_values(held, lambda k, v: v["Assertion Explaination"])
+    return F.map_filter(said, lambda k, v: v.isNotNull())
 
 
 #: fixed values: operators of plain expressions; every other one counts as temporal

@@ -163,6 +163,26 @@ def routed(queries: DataFrame, stores: dict[str, DataFrame], key: str, k: int =
     return out
 
 
+def expand_then_retrieve(queries: DataFrame, store: DataFrame, key: str, completer: Completer, k: int = 3, dim: int = 16, template: str = TEMPLATES["expand"]) -> DataFrame:
+    """(key, expanded, rank, content): each query (key, text) is rewritten first, and the rewrite asks the store (id, content)."""
+    asked = queries.select(key, X.render(F.lit(template), context=F.lit(""), query=F.coalesce("text", F.lit(""))).alias("_asked"))
+    rewritten = cut(complete(asked, "_asked", "expanded", completer).drop("_asked"))
+    return rewritten.join(retrieve(rewritten.select(key, F.col("expanded").alias("text")), store, key, k, dim), key)
+
+
+def operations_then_operators(rows: DataFrame, key: str, text: str, operators: DataFrame, completer: Completer) -> DataFrame:
+    """`rows` with the operations that a text asks for, the operators (op) that stand in them, and an answer made from the operations.
+
+    The operators are matched and kept beside the answer; the answer is made from the operations.
+    """
+    asked = rows.withColumn("_p", F.concat(F.lit("Name the operations of: "), F.coalesce(text, F.lit(""))))
+    named = cut(complete(asked, "_p", "operations", completer).drop("_p"))
+    hits = retrieval.contains_join(named, "operations", operators, "op", keep=[key])
+    matched = hits.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_set("op")).alias("_ops"))
+    held = named.join(matched, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("operators", F.coalesce("_ops", F.array().cast("array<string>"))).drop("_k", "_ops")
+    return complete(held.withColumn("_p", F.concat(F.lit("Write one assertion with: "), F.coalesce("operations", F.lit("")))), "_p", "answer", completer).drop("_p")
+
+
 def verify_loop(rows: DataFrame, column: str, check: Callable[[Column], Column], correct: Callable[[DataFrame, str], DataFrame], rounds: int = 2, feedback: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows with `ok` and `tries`: what fails the check is corrected (a new value of the column) and checked again, at most `rounds` times.
 
