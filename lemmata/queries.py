@@ -625,4 +625,4 @@ def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).count().groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-from lemmata import queries_blocks, queries_datasets, queries_generation, queries_lines, queries_more, queries_operators, queries_pages, queries_patterns, queries_retrieval, queries_sequences  # noqa: E402, F401  (register their queries here)
+from lemmata import queries_blocks, queries_datasets, queries_generation, queries_lines, queries_more, queries_operators, queries_pages, queries_patterns, queries_report, queries_retrieval, queries_sequences  # noqa: E402, F401  (register their queries here)
