@@ -10,9 +10,9 @@ from lemmata.queries import query
 from lemmata.session import table
 
 
-def _chunk_sql(size: int, overlap: int) -> str:
+def _chunk_sql(size: int, overlap: int, source: str = "(SELECT doc_id, text FROM documents)") -> str:
     """The greedy merge by pieces between spaces, from prefix sums: where a chunk ends, and where the next one begins."""
-    return f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), ' '), ' '), lambda x, i: CASE WHEN i = 1 THEN x ELSE ' ' || x END), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), ' '), ' '), lambda x, i: CASE WHEN i = 1 THEN x ELSE ' ' || x END), lambda x: x <> '') AS ps FROM {source} WHERE text IS NOT NULL),
 w AS (SELECT doc_id, i, length(ps[i]) AS n FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM d)),
 p AS (SELECT doc_id, i, n, sum(n) OVER o AS upto, sum(n) OVER o - n AS before, lead(n) OVER o AS then FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 e AS (SELECT s.doc_id, s.i AS s, x.i AS e, greatest(x.upto - {overlap}, x.upto + x.then - {size}) AS least, x.then IS NULL AS last FROM p s ASOF JOIN p x ON s.doc_id = x.doc_id AND s.before + {size} >= x.upto),
@@ -38,6 +38,13 @@ def recursive_chunks_3000_1000(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf, 3000, 1000)
 
 
+@query(f"""SELECT c.doc_id AS page_id, url, chunk, n, digest FROM ({_chunk_sql(1000, 200, "(SELECT page_id AS doc_id, html AS text FROM pages)")}) c JOIN pages ON c.doc_id = page_id""")
+def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page on its own, its chunks with what tells where they are from."""
+    pages = table(spark, sf, "pages").select("page_id", "url", F.translate("html", "\n", " ").alias("text"))
+    return split.recursive_chunks(pages, 1000, 200).select("page_id", "url", "chunk", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
+
+
 #: lines of pages: whether one opens a block, looks like code, ends a block
 _KINDS = {"wire w": (1, 1, 0), "plain words": (0, 0, 0), "the module is good": (0, 1, 0), "endmodule": (1, 1, 1), "x <= y;": (1, 1, 0), "Good Words": (0, 0, 0), "f(a);": (0, 0, 1), "text": (0, 0, 0)}
 _PAGE = "repeat(' ', cast(event_id % 4 * 2 as int)) || CASE (event_id * 7 + user_id) % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_KINDS)) + " END"
