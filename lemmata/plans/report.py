@@ -1,7 +1,8 @@
 """A comparison of two models' results as a plain-text report, line by line.
 
 Lines are rows (part, idx, line, value): the head with its summary, a section for each record, the end. Sorted by the first three
-they are the report; `write` does so by range, so no task holds all of it.
+they are the report; `write` does so by range, so no task holds all of it. The wording and layout of its lines, here and below, are
+fixed values: a report is compared with others by its text.
 """
 
 from __future__ import annotations
