@@ -234,7 +234,7 @@ hit AS (SELECT op, idx, sva FROM v JOIN ops ON contains(sva, op))
 SELECT op, count(*) AS occurrences, count(DISTINCT idx) AS containing, arg_min(sva, (length(sva), idx, sva)) AS example FROM hit GROUP BY op""")
 def operator_census(spark: SparkSession, sf: str) -> DataFrame:
     ops = F.broadcast(spark.createDataFrame([(o,) for o in _OPS], "op string"))
-    hits = retrieval.contains_join(_assertions(spark, sf), "sva", ops, "op").withColumn("pos", F.lit(0))
+    hits = retrieval.contains_join(_assertions(spark, sf), "sva", ops, "op", keep=["idx", "sva"]).withColumn("pos", F.lit(0))
     return curate.census(hits, "op", "idx", "pos", "sva")
 
 
