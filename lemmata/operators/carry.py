@@ -52,11 +52,12 @@ def last_value(rows: DataFrame, part: tuple[str, ...], order: str, value: Column
 
 def _carried(rows: DataFrame, part: tuple[str, ...], order: str, value: Column, name: str, ahead: bool) -> DataFrame:
     made = _blocked(rows, order, value)
-    turn = F.asc if ahead else F.desc
+    # frames grow row by row towards the asked side; one up to the other end would be read anew for every row
+    turn = F.desc if ahead else F.asc
     pick = F.min_by if ahead else F.max_by
     total = made.groupBy(*part, "_block").agg(pick("_made", F.when(F.col("_made").isNotNull(), F.col(order))).alias("_one"))
-    over = Window.partitionBy(*part).orderBy(turn("_block")).rowsBetween(1, Window.unboundedFollowing)
-    blocks = total.select(*_names(part), F.first("_one", ignorenulls=True).over(over).alias("_beyond"))
-    here = Window.partitionBy(*part, "_block").orderBy(turn(order)).rowsBetween(0, Window.unboundedFollowing)
-    inside = made.withColumn("_inside", F.first("_made", ignorenulls=True).over(here))
+    over = Window.partitionBy(*part).orderBy(turn("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = total.select(*_names(part), F.last("_one", ignorenulls=True).over(over).alias("_beyond"))
+    here = Window.partitionBy(*part, "_block").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = made.withColumn("_inside", F.last("_made", ignorenulls=True).over(here))
     return _told(inside, blocks, part).withColumn(name, F.coalesce("_inside", "_beyond")).drop("_inside", "_beyond")

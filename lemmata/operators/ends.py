@@ -28,7 +28,8 @@ def _upto():
 
 
 def _ahead():
-    return _key().rowsBetween(0, Window.unboundedFollowing)
+    # from the last tick back, so that the frame grows row by row; one up to the end would be read anew for every row
+    return Window.partitionBy(TRACE).orderBy(F.desc(TICK)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _whole():

@@ -19,7 +19,8 @@ def _key():
 
 
 def _ahead():
-    return _key().rowsBetween(0, Window.unboundedFollowing)
+    # from the last tick back, so that the frame grows row by row; one up to the end would be read anew for every row
+    return Window.partitionBy(TRACE).orderBy(F.desc(TICK)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _c(x) -> Column:
@@ -124,7 +125,7 @@ def repeat(trace: DataFrame, b, m: int, n: int | None = None) -> DataFrame:
     """`b[*m:n]`, n None for no bound; m of 0 also gives the empty match, which ends before it starts."""
     gap = F.sum(F.when(F.coalesce(_c(b), F.lit(False)), 0).otherwise(1)).over(_key().rowsBetween(Window.unboundedPreceding, 0))
     runs = trace.withColumn("_island", gap).where(_c(b))
-    length = F.count(F.lit(1)).over(Window.partitionBy(TRACE, "_island").orderBy(TICK).rowsBetween(0, Window.unboundedFollowing))
+    length = F.count(F.lit(1)).over(Window.partitionBy(TRACE, "_island").orderBy(F.desc(TICK)).rowsBetween(Window.unboundedPreceding, 0))
     most = length if n is None else F.least(length, F.lit(n))
     long = runs.withColumn("_n", most).where(F.col("_n") >= max(1, m))
     found = long.withColumn("_k", F.explode(F.sequence(F.lit(max(1, m)).cast("bigint"), F.col("_n").cast("bigint")))).select(TRACE, F.col(TICK).alias("start"), (F.col(TICK) + F.col("_k") - 1).alias("end"))
