@@ -163,7 +163,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_
     chosen = _graph.cut(candidates.join(classes, "node").select("node", "root", "look", "copies", "items"))
     named = docs.withColumn("at", at).join(chosen.select("node", "look.at", "look.h"), ["at", "h"])
     texts = named.groupBy("node").agg(F.min("text").alias("text"))
-    blocks = _graph.in_blocks(chosen.drop("look")).join(texts, "node")
+    blocks = _graph.in_blocks(chosen.drop("look"), percent).join(texts, "node")
     linked = _graph.cut(_graph.verify(blocks, partial(shingle_sets, n=n), percent, stamp))
 
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
