@@ -18,7 +18,7 @@ import numpy as np
 from lemmata.llm._bytes import IDENTITY, NON_SPACE, Words, words
 
 #: parts that a worker keeps, and those that one call encodes
-CACHE, TOGETHER = 1_200_000, 512
+CACHE, TOGETHER = 400_000, 512
 VOCABULARY = "word_bpe_49k.json"
 #: words, numbers, marks and scripts between all kinds of ASCII white space, single and repeated
 PROBE = "".join(a + b for a, b in zip(("The", "quick's", "12,345", "(fox)", "Straße", "東京", "e\u0301a", "!?", "it's", "'s", "привет", "a-b_c", "\u0301x", "🙂", "end."), (" ", "  ", "\t", "\n", "\n\n", "\r\n", " ", "\x0b", "\x0c", " ", " \t ", "\n ", " ", " ", ""), strict=True))
